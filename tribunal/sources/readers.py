@@ -8,6 +8,10 @@ from tribunal.functions import rules
 from tribunal.functions.columns import name
 
 
+_HEAD_LINES = 200
+_HEAD_CHARS = 65_536
+
+
 class UnsupportedFormat(ValueError):
     """The file is in a format that cannot be read."""
 
@@ -77,25 +81,29 @@ def _cast(text: Column, present: int, integers: int, doubles: int, booleans: int
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """An array of records, one record per line, or columns of row keys."""
-    df = spark.read.json(path, multiLine=True)
+    head = (
+        spark.read.text(path).filter(F.trim("value") != "")
+        .select(F.substring("value", 1, _HEAD_CHARS).alias("text"),
+                (F.trim("value").startswith("{") & F.get_json_object("value", "$").isNotNull()).alias("whole"))
+        .limit(_HEAD_LINES).collect()
+    )
+    lines = bool(head) and head[0]["whole"]
+    df = spark.read.json(path, multiLine=not lines)
     if "_corrupt_record" in df.columns:
         raise UnsupportedFormat("The JSON text cannot be parsed.")
     structs = [isinstance(f.dataType, T.StructType) for f in df.schema.fields]
     if structs and all(structs):
-        return _from_columns(spark, df)
-    return df.select(*_natural_order(spark, path, df.columns))
+        return _from_columns(df)
+    return df.select(*_natural_order("\n".join(r["text"] for r in head), df.columns))
 
 
-def _natural_order(spark: SparkSession, path: str, columns: list[str]) -> list[Column]:
-    """Columns in the order of the first record, as the inferred schema sorts them."""
-    head = spark.read.text(path).limit(200).collect()
-    text = "\n".join(r[0] for r in head)
+def _natural_order(text: str, columns: list[str]) -> list[Column]:
+    """Columns as first met in the text; the inferred schema sorts them by name."""
     place = {c: text.find(f'"{c}"') for c in columns}
-    last = len(text)
-    return [name(c) for c in sorted(columns, key=lambda c: (place[c] if place[c] >= 0 else last, c))]
+    return [name(c) for c in sorted(columns, key=lambda c: (place[c] if place[c] >= 0 else len(text), c))]
 
 
-def _from_columns(spark: SparkSession, df: DataFrame) -> DataFrame:
+def _from_columns(df: DataFrame) -> DataFrame:
     """Columns written as ``{"a": {"0": 1, "1": 2}}`` back into rows.
 
     Each column becomes (key, value) rows; one grouping puts the cells of a key
