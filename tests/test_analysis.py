@@ -1,0 +1,153 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as E
+from tribunal import analyze, load_scorer, read_table, save_scorer, write_analysis
+from tribunal.functions import rules
+from tribunal.operators.candidates import Profile
+from tribunal.plans import fixtures as T
+from tribunal.sources.readers import UnsupportedFormat
+from tribunal.streaming.scoring import score_stream
+
+TINY = Profile(trees=3, rounds=3, tree_depth=4, forest_depth=4, bins=32)
+
+
+def _ticks():
+    state = {"t": 0.0}
+
+    def clock():
+        state["t"] += 0.25
+        return state["t"]
+    return clock
+
+
+@pytest.fixture(scope="module")
+def docs(spark, folder):
+    a = analyze(T.doc_quality(spark, folder), "quality", key="doc_id", profile=TINY, clock=_ticks(), keep_all=True)
+    yield a
+    a.release()
+
+
+def test_classification_end_to_end(spark, docs):
+    board = docs.leaderboard.orderBy("rank").collect()
+    assert len(board) == 5 and board[0]["verdict"] == "SELECTED"
+    assert docs.metrics.filter("status = 'success'").count() == 5
+    assert {r["training_time_sec"] for r in docs.metrics.collect()} == {0.25}
+    assert set(docs.models) == {rules.LOGISTIC, rules.TREE, rules.FOREST, rules.BOOSTING, rules.KNN}
+    steps = [r["step"] for r in docs.decision_log.collect()]
+    assert steps[0] == "Target Separation" and "Target Encoding" in steps and steps[-1] == "Mutual Information Ranking"
+    assert docs.sample_values and docs.explanation.shap_error is None
+
+
+def test_same_input_gives_the_same_metrics(spark, folder, docs):
+    again = analyze(T.doc_quality(spark, folder).repartition(5), "quality", key="doc_id", profile=TINY, clock=_ticks())
+    assert docs.metrics.exceptAll(again.metrics).count() == 0
+    again.release()
+
+
+def test_write_analysis_and_reload_scorer(spark, folder, docs, tmp_path):
+    titles = write_analysis(docs, spark, str(tmp_path / "out"))
+    assert {"metrics", "report_cover", "shap", "rationales", "rules"} <= set(titles)
+    assert spark.read.json(str(tmp_path / "out" / "verdict_leaderboard")).count() == 5
+    save_scorer(docs.scorer, spark, str(tmp_path / "scorer"))
+    loaded = load_scorer(spark, str(tmp_path / "scorer"))
+    rows = T.doc_quality(spark, folder).drop("quality")
+    before, after = docs.scorer.score(rows, "doc_id"), loaded.score(rows, "doc_id")
+    view = ["doc_id", "prediction", "prediction_label", "confidence"]
+    assert before.select(view).exceptAll(after.select(view)).count() == 0
+
+
+@pytest.mark.parametrize("model", [rules.TREE, rules.BOOSTING, rules.KNN])
+def test_every_kind_of_winner_scores(spark, folder, docs, model):
+    from dataclasses import replace
+    train = T.doc_quality(spark, folder)
+    prepared = docs.preparation.apply(
+        train.withColumn("label", F.col("quality").cast("double")), ["doc_id", "label"]).withColumnRenamed("doc_id", "row_id")
+    scorer = replace(docs.scorer, model_name=model, model=docs.models[model],
+                     train_rows=prepared if docs.models[model] is None else None)
+    scored = scorer.score(train.drop("quality", "n_chars"), "doc_id")     # an absent feature gets its median
+    assert scored.count() == train.count()
+    sums = scored.select(F.aggregate(F.map_values("class_probabilities"), F.lit(0.0), lambda a, v: a + v).alias("s"))
+    assert sums.agg(F.max(F.abs(F.col("s") - 1))).first()[0] < 2e-4
+
+
+def test_stream_of_rows_equals_batch(spark, folder, docs, tmp_path):
+    rows = T.doc_quality(spark, folder).drop("quality")
+    rows.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    query = score_stream(stream, docs.scorer, "doc_id", str(tmp_path / "out"), str(tmp_path / "cp")).trigger(
+        availableNow=True).start()
+    query.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "prediction")
+    assert got.exceptAll(docs.scorer.score(rows, "doc_id").select("doc_id", "prediction")).count() == 0
+    assert got.count() == rows.count()
+
+
+def test_regression_without_a_key(spark, folder):
+    df = T.part_price(spark, folder).select("p_size", "p_type", "p_partkey", "p_retailprice")
+    a = analyze(df, "p_retailprice", profile=TINY)
+    assert a.problem_type == "regression" and a.statistics.count() == 1
+    assert a.dataset_info.first()["original_columns"] == ["p_size", "p_type", "p_partkey"]
+    assert a.metrics.filter("status = 'success'").count() == 5
+    assert a.scorer.score(df.withColumn("id", F.col("p_partkey")), "id").count() == 200
+    a.release()
+
+
+def test_no_winner(spark):
+    # labels carry no signal: five balanced classes against noise
+    df = spark.range(200).select("id", F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("x"),
+                                 (F.pmod(F.xxhash64(F.col("id") + 7), F.lit(5)).cast("string")).alias("y"))
+    a = analyze(df, "y", key="id", profile=TINY)
+    assert a.winner.first()["winner"] is None and a.explanation is None
+    with pytest.raises(ValueError):
+        a.scorer.score(df, "id")
+    a.release()
+
+
+def test_failed_candidate_is_recorded(spark, folder, monkeypatch):
+    import tribunal.operators.training as training
+
+    def broken(*args):
+        raise RuntimeError("out of luck")
+    monkeypatch.setattr(training, "knn_fold_predictions", broken)
+    a = analyze(T.doc_quality(spark, folder), "quality", key="doc_id", profile=TINY)
+    row = a.judged.filter(F.col("model_name") == rules.KNN).first()
+    assert row["status"] == "disqualified" and row["disqualification_reasons"][0].startswith("DQ4")
+    assert row["error"] == "out of luck"
+    a.release()
+
+
+def test_csv_tokens_and_types(spark, tmp_path):
+    path = tmp_path / "t.CSV"
+    path.write_text('i,d,b,s,when,gone\n1,1.5,True,x,2020-01-01,\nNA,,False,"NA",2020-01-02,\n3,2e3,,"a, b",null,\n')
+    df = read_table(spark, str(path))
+    assert dict(df.dtypes) == {"i": "bigint", "d": "double", "b": "boolean", "s": "string", "when": "string", "gone": "double"}
+    rows = [tuple(r) for r in df.collect()]
+    assert rows == [(1, 1.5, True, "x", "2020-01-01", None), (None, None, False, None, "2020-01-02", None),
+                    (3, 2000.0, None, "a, b", None, None)]
+
+
+def test_json_layouts(spark, tmp_path):
+    records = [{"b": 1, "a": "x"}, {"b": 2, "a": None}]
+    for title, text in {"one": json.dumps(records), "many": json.dumps(records, indent=2),
+                        "lines": "\n".join(map(json.dumps, records)),
+                        "columns": json.dumps({"b": {"0": 1, "1": 2}, "a": {"0": "x", "1": None}})}.items():
+        path = tmp_path / f"{title}.json"
+        path.write_text(text)
+        df = read_table(spark, str(path))
+        assert sorted((r["b"], r["a"]) for r in df.collect()) == [(1, "x"), (2, None)], title
+        if title != "columns":
+            assert df.columns == ["b", "a"], title
+
+
+def test_unsupported_files(spark, tmp_path):
+    with pytest.raises(UnsupportedFormat):
+        read_table(spark, str(tmp_path / "book.xlsx"))
+    with pytest.raises(UnsupportedFormat):
+        read_table(spark, str(tmp_path / "absent.dat"))
+
+
+def test_entry(spark):
+    assert E.entry(spark).count() == 5
