@@ -20,6 +20,16 @@ EXACT_MEDIAN_ROWS = 1_000_000
 _ACCURACY = 10_000
 
 
+def _with_offset(rows: DataFrame, offsets: DataFrame, groups: list[str], part: str) -> DataFrame:
+    """Add the offset of each row's part; a null group is a group too."""
+    keys = {c: f"_of_{i}" for i, c in enumerate([*groups, part])}
+    renamed = offsets.select(*[name(c).alias(alias) for c, alias in keys.items()], "_offset")
+    match = F.col(part) == F.col(keys[part])
+    for c in groups:
+        match = match & name(c).eqNullSafe(F.col(keys[c]))
+    return rows.join(renamed, match, "inner").drop(*keys.values())
+
+
 def spread_row_number(
     df: DataFrame, groups: list[str], ordering: list[str], output: str, n_rows: int
 ) -> DataFrame:
@@ -48,7 +58,7 @@ def spread_row_number(
     )
     return (
         keyed.withColumn("_rank", F.row_number().over(inside).cast("long") - 1)
-        .join(offsets, on=keys, how="inner")
+        .transform(_with_offset, offsets, groups, "_bucket")
         .withColumn(output, F.col("_offset") + F.col("_rank"))
         .drop("_digest", "_bucket", "_rank", "_offset")
     )
@@ -78,7 +88,7 @@ def sorted_row_number(
     inside = Window.partitionBy(*keys, "_slice").orderBy(*[name(c) for c in ordering])
     return (
         sliced.withColumn("_rank", F.row_number().over(inside).cast("long") - 1)
-        .join(offsets, on=[*groups, "_slice"], how="inner")
+        .transform(_with_offset, offsets, groups, "_slice")
         .withColumn(output, F.col("_offset") + F.col("_rank"))
         .drop("_slice", "_rank", "_offset")
     )
@@ -122,17 +132,23 @@ def order_statistics(
         for column, wanted in ranks.items() for rank in sorted(set(wanted))
     ]
     while open_brackets:
-        sketches = []
-        for i, b in enumerate(open_brackets):
-            centre = (b.rank - b.before + 0.5) / b.inside
-            margin = 2.0 / accuracy
-            ends = [max(0.0, centre - margin), min(1.0, centre + margin)]
-            sketches.append(F.percentile_approx(
-                F.when(b.holds(), name(b.column)), ends, accuracy).alias(f"s{i}"))
+        # ranks still in the same interval share its sketch
+        shared: dict[tuple, list[_Bracket]] = {}
+        for b in open_brackets:
+            shared.setdefault((b.column, b.low, b.high), []).append(b)
+        sketches, positions = [], []
+        for group in shared.values():
+            ends = []
+            for b in group:
+                centre, margin = (b.rank - b.before + 0.5) / b.inside, 2.0 / accuracy
+                positions.append((b, f"s{len(sketches)}", len(ends)))
+                ends += [max(0.0, centre - margin), min(1.0, centre + margin)]
+            value = F.when(group[0].holds(), name(group[0].column))
+            sketches.append(F.percentile_approx(value, ends, accuracy).alias(f"s{len(sketches)}"))
         row = df.agg(*sketches).first()
-        pairs = [tuple(row[f"s{i}"]) for i in range(len(open_brackets))]
+        tried = [(b, row[sketch][i], row[sketch][i + 1]) for b, sketch, i in positions]
         counters = []
-        for i, (b, (low, high)) in enumerate(zip(open_brackets, pairs)):
+        for i, (b, low, high) in enumerate(tried):
             value, within = name(b.column), b.holds()
             for tag, test in (
                 ("a", value < F.lit(low)), ("b", value == F.lit(low)),
@@ -141,24 +157,23 @@ def order_statistics(
             ):
                 counters.append(F.count_if(within & test).alias(f"{tag}{i}"))
         row = df.agg(*counters).first()
-        remaining = []
-        for i, (b, (low, high)) in enumerate(zip(open_brackets, pairs)):
+        open_brackets = []
+        for i, (b, low, high) in enumerate(tried):
             below, at_low, middle, at_high = (row[f"{t}{i}"] for t in "abcd")
             position = b.rank - b.before
             if position < below:
-                remaining.append(_Bracket(b.column, b.rank, below, b.before, b.low, low))
+                open_brackets.append(_Bracket(b.column, b.rank, below, b.before, b.low, low))
             elif position < below + at_low:
                 found[b.column, b.rank] = low
             elif position < below + at_low + middle:
-                remaining.append(_Bracket(
+                open_brackets.append(_Bracket(
                     b.column, b.rank, middle, b.before + below + at_low, low, high))
             elif position < below + at_low + middle + at_high:
                 found[b.column, b.rank] = high
             else:
                 passed = below + at_low + middle + at_high
-                remaining.append(_Bracket(
+                open_brackets.append(_Bracket(
                     b.column, b.rank, b.inside - passed, b.before + passed, high, b.high))
-        open_brackets = remaining
     return found
 
 

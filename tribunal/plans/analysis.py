@@ -118,9 +118,9 @@ def analyze(
     size = profile if isinstance(profile, Profile) else PROFILES[profile]
     P.require_target(df, target)
     P.require_min_rows(df)
-    df, row_id = with_row_id(P.drop_null_target(df, target), key)
     log: list[tuple[str, list[dict]]] = []
-    chosen = P.select_features(df, target, features, [row_id])
+    chosen = P.select_features(P.drop_null_target(df, target), target, features, [] if key is None else [key])
+    chosen, row_id = with_row_id(chosen, key)
     exclude = [] if features is not None and row_id in features else [row_id]
 
     detection = detect.detect_problem(chosen, target)

@@ -125,7 +125,7 @@ def exact_medians(spark, folder):
     df = _lineitem(spark, folder).select(*[F.col(c).cast("double").alias(c) for c in LINE_NUMBERS])
     counts = df.agg(*[F.count(c).alias(c) for c in LINE_NUMBERS]).first().asDict()
     ranks = {c: [(n - 1) // 2, n // 2] for c, n in counts.items()}
-    values = order_statistics(df, ranks, counts, accuracy=1000)
+    values = order_statistics(df, ranks, counts)
     return spark.createDataFrame(
         [(c, (values[c, a] + values[c, b]) / 2) for c, (a, b) in ranks.items()], "feature string, median double")
 
