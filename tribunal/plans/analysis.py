@@ -13,7 +13,9 @@ from tribunal.functions.columns import name
 from tribunal.operators import detect, explain as X, features as E, profile as P, verdict as V
 from tribunal.operators.candidates import PROFILES, Profile, candidates
 from tribunal.operators.folds import kfold, stratified_folds
-from tribunal.operators.mutual_info import binned_mutual_info, neighbour_mutual_info
+from tribunal.operators.mutual_info import (
+    binned_mutual_info, neighbour_mutual_info, neighbour_mutual_info_regression,
+)
 from tribunal.operators.prepare import (
     Preparation, cast_target, decision_log, encode_target, fit_preparation,
 )
@@ -96,8 +98,9 @@ def mutual_information(
 ) -> DataFrame:
     """Score of every selected feature against the label."""
     classify = preparation.problem_type == rules.CLASSIFICATION
-    if estimator == "neighbour" and classify:
-        return neighbour_mutual_info(prepared, selected, "label", "row_id")
+    if estimator == "neighbour":
+        estimate = neighbour_mutual_info if classify else neighbour_mutual_info_regression
+        return estimate(prepared, selected, "label", "row_id")
     discrete = [f for f in selected if f in preparation.categorical]
     return binned_mutual_info(prepared, selected, "label", discrete, classify)
 

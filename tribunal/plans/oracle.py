@@ -82,10 +82,10 @@ def _width(column: str, source: str, bins: int) -> str:
             f"{bins - 1})::int")
 
 
-def _psi(n: str) -> str:
-    """Digamma of a positive integer as a harmonic sum."""
-    return f"(-0.57721566490153286 + coalesce((select sum(1.0::double / i) from range(1, {n}::bigint) r(i)), 0))"
-
+_PSI = """psi as (select n, -0.57721566490153286::double + coalesce(sum(1.0::double / (n - 1)) over (
+                order by n rows between unbounded preceding and current row), 0) as p
+            from (select i as n from range(2, 200001) t(i))),
+    all_psi as (select n, p from psi union all select 1, -0.57721566490153286::double)"""
 
 _NEIGHBOUR_MI = f"""with {_DOCS},
     coded as (select doc_id as id, quality as y, n_chars::double as n_chars, odd_share,
@@ -105,10 +105,7 @@ _NEIGHBOUR_MI = f"""with {_DOCS},
     m as (select r.feature, r.id, any_value(r.y) as y, any_value(r.k) as k, count(*) as m
           from rad r join x b on r.feature = b.feature
           where abs(b.x - r.x) < r.radius - 8 * 2.220446049250313e-16 * (abs(r.x) + r.radius) group by r.feature, r.id),
-    psi as (select n, -0.57721566490153286::double + coalesce(sum(1.0::double / (n - 1)) over (
-                order by n rows between unbounded preceding and current row), 0) as p
-            from (select i as n from range(2, 200001) t(i))),
-    all_psi as (select n, p from psi union all select 1, -0.57721566490153286::double)
+    {_PSI}
     select feature, round(greatest(any_value(pn.p) + avg(pk.p) - avg(pc.p) - avg(pm.p), 0), 4) as mutual_info_score
     from m join size s on m.y = s.y
       join all_psi pk on pk.n = m.k join all_psi pc on pc.n = s.nc join all_psi pm on pm.n = m.m
@@ -117,6 +114,31 @@ _NEIGHBOUR_MI = f"""with {_DOCS},
     group by feature"""
 
 
+def _plane(feature: str) -> str:
+    """CTEs of the plane estimate for one feature of part against its price."""
+    def axis(column: str) -> str:
+        return (f"{column} / s_{column} + 1e-10::double * greatest(1.0, a_{column} / s_{column}) * "
+                f"(('0x' || substr(md5(p_partkey::varchar || '#{column}'), 1, 8))::bigint / 4294967296.0::double)")
+    facts = ", ".join(f"stddev_pop({c}) as s_{c}, avg(abs({c}))::double as a_{c}" for c in (feature, "p_retailprice"))
+    t = feature[2:]
+    return f"""facts_{t} as (select {facts} from part),
+    pt_{t} as (select p_partkey as id, {axis(feature)} as x, {axis("p_retailprice")} as y from part, facts_{t}),
+    rad_{t} as (select id, x, y, d as radius from (select a.id, a.x, a.y, greatest(abs(a.x - b.x), abs(a.y - b.y)) as d,
+            row_number() over (partition by a.id order by greatest(abs(a.x - b.x), abs(a.y - b.y))) as r
+        from pt_{t} a, pt_{t} b where a.id <> b.id) where r = 3),
+    m_{t} as (select '{feature}' as feature, a.id,
+            count(*) filter (abs(a.x - b.x) < radius - 8 * 2.220446049250313e-16 * (abs(a.x) + radius)) as mx,
+            count(*) filter (abs(a.y - b.y) < radius - 8 * 2.220446049250313e-16 * (abs(a.y) + radius)) as my
+        from rad_{t} a, pt_{t} b group by a.id)"""
+
+
+_PLANE_MI = f"""with {_plane("p_partkey")}, {_plane("p_size")}, {_PSI},
+    m as (select * from m_partkey union all select * from m_size)
+    select feature, round(greatest((select p from all_psi where n = (select count(*) from part)) + (select p from all_psi where n = 3)
+        - avg(px.p) - avg(py.p), 0), 4) as mutual_info_score
+    from m join all_psi px on px.n = greatest(mx, 1) join all_psi py on py.n = greatest(my, 1) group by feature"""
+
+
 def _knn(source: str, key: str, dims: list[str], k: int = 5) -> str:
     """CTE ``near(id, label, r)``: the k nearest rows, ties by key."""
     distance = " + ".join(f"(q.{d} - t.{d}) * (q.{d} - t.{d})" for d in dims)
@@ -436,6 +458,7 @@ ORACLE: dict[str, str] = {
             select 'p_partkey' as feature, {_width('p_partkey', 'part', 20)} as xb, {_width('p_retailprice', 'part', 20)} as yb from part
             union all select 'p_size', {_width('p_size', 'part', 20)}, {_width('p_retailprice', 'part', 20)} from part)""", 5),
     "mi_neighbour_classification": _NEIGHBOUR_MI,
+    "mi_neighbour_regression": _PLANE_MI,
     "feature_ranking": _mi("with long as (" + _union(
         f"select '{c}' as feature, {b} as xb, l_returnflag as yb from lineitem" for c, b in [
             ("l_quantity", _width("l_quantity", "lineitem", 10)), ("l_discount", _width("l_discount", "lineitem", 10)),

@@ -13,7 +13,9 @@ from tribunal.operators import score as S, verdict as V
 from tribunal.operators.candidates import TrainingFacts, logistic, ridge
 from tribunal.operators.folds import kfold, stratified_folds
 from tribunal.operators.knn import class_shares, feature_array, knn_fold_predictions, knn_predict
-from tribunal.operators.mutual_info import binned_mutual_info, neighbour_mutual_info
+from tribunal.operators.mutual_info import (
+    binned_mutual_info, neighbour_mutual_info, neighbour_mutual_info_regression,
+)
 from tribunal.operators.ordering import order_statistics
 from tribunal.plans import fixtures as T, report
 from tribunal.plans.analysis import Analysis, analyze, prepared_rows
@@ -238,6 +240,12 @@ def mi_neighbour_classification(spark, folder):
     return scores.select("feature", F.round("mutual_info_score", 4).alias("mutual_info_score"))
 
 
+def mi_neighbour_regression(spark, folder):
+    scores = neighbour_mutual_info_regression(
+        T.part_price(spark, folder), ["p_partkey", "p_size"], "p_retailprice", "p_partkey")
+    return scores.select("feature", F.round("mutual_info_score", 4).alias("mutual_info_score"))
+
+
 def feature_ranking(spark, folder):
     df = R.label_encode(_lineitem(spark, folder), ["l_returnflag", "l_linestatus"])
     features = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_linestatus"]
@@ -566,6 +574,7 @@ QUERIES: dict[str, Query] = {
     "mi_binned_classification": mi_binned_classification,
     "mi_binned_regression": mi_binned_regression,
     "mi_neighbour_classification": mi_neighbour_classification,
+    "mi_neighbour_regression": mi_neighbour_regression,
     "feature_ranking": feature_ranking,
     "stratified_folds": stratified,
     "kfold": kfolds,
