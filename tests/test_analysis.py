@@ -85,6 +85,31 @@ def test_stream_of_rows_equals_batch(spark, folder, docs, tmp_path):
     assert got.count() == rows.count()
 
 
+def test_stream_scored_by_neighbours(spark, folder, docs, tmp_path):
+    from dataclasses import replace
+    prepared = docs.preparation.apply(
+        T.doc_quality(spark, folder).withColumn("label", F.col("quality").cast("double")), ["doc_id", "label"])
+    scorer = replace(docs.scorer, model_name=rules.KNN, model=None,
+                     train_rows=prepared.withColumnRenamed("doc_id", "row_id"))
+    rows = T.doc_quality(spark, folder).drop("quality")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    score_stream(stream, scorer, "doc_id", str(tmp_path / "out"), str(tmp_path / "cp")).trigger(
+        availableNow=True).start().awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "prediction")
+    assert got.exceptAll(scorer.score(rows, "doc_id").select("doc_id", "prediction")).count() == 0
+    assert got.count() == rows.count()
+
+
+def test_three_classes_and_a_text_key(spark, folder):
+    a = analyze(T.turn_roles(spark, folder), "role", key="turn_id", profile=TINY)
+    assert a.metrics.filter("status = 'success'").count() == 5
+    assert a.scorer.labels == ["assistant", "system", "user"]
+    scored = a.scorer.score(T.turn_roles(spark, folder).drop("role"), "turn_id")
+    assert scored.filter(F.col("prediction_label").isin(a.scorer.labels)).count() == 87
+    a.release()
+
+
 def test_regression_without_a_key(spark, folder):
     df = T.part_price(spark, folder).select("p_size", "p_type", "p_partkey", "p_retailprice")
     a = analyze(df, "p_retailprice", profile=TINY)
