@@ -507,7 +507,7 @@ ORACLE: dict[str, str] = {
     "coefficient_importance": _RIDGE + """, l as (select 0 as o, 'key_k' as feature, abs(wa) as s from model
         union all select 1, 'size', abs(wb) from model)
         select feature, round(s, 6) as importance, row_number() over (order by s desc, o) as rank from l""",
-    "importance_view": _RIDGE_SHAP + """ select rank::int as rank, feature, mean_abs_shap as value,
+    "importance_view": _RIDGE_SHAP + """ select rank, feature, mean_abs_shap as value,
         round(mean_abs_shap * 100 / max(mean_abs_shap) over (), 3) as percent,
         case when mean_abs_shap * 100 / max(mean_abs_shap) over () > 66 then 'high'
              when mean_abs_shap * 100 / max(mean_abs_shap) over () > 33 then 'medium' else 'low' end as signal,
