@@ -17,8 +17,11 @@ from tribunal.llm.tokens import encoder
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
+LIBRARY = {path: Tokenizer.from_file(path) for path in (BYTE, WORD)}
+
+
 def ids_of(path, text, end):
-    return [*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end]
+    return [*LIBRARY[path].encode(text or "", add_special_tokens=False).ids, end]
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])

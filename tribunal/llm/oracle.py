@@ -1,3 +1,91 @@
 """The same results as DuckDB SQL, where SQL can express them."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from tribunal.llm.line_quality import BOILERPLATE, LineRules, SYMBOLS
+from tribunal.llm.mixing import OTHER, pfair_slots
+from tribunal.llm.queries import MIXTURE
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_RULES = LineRules()
+
+WARC = """
+with p as (select page_id, coalesce(html, '') body from pages),
+r as (select page_id, strlen(body) n, sha256(body) d from p),
+k as (select d, min(page_id) keeper from r where n >= 100 group by d)
+select page_id, n::bigint payload_bytes, r.d payload_digest,
+       case when keeper is distinct from page_id and keeper is not null then 'revisit' else 'response' end record_type,
+       case when keeper is distinct from page_id then keeper end refers_to
+from r left join k on r.d = k.d and r.n >= 100
+"""
+
+
+def _mixture(block: int = 16) -> str:
+    """Ranks inside each source, dealt into the slots of the fixed schedule."""
+    parts = MIXTURE | {OTHER: 1}
+    sizes = ", ".join(f"('{s}', {p})" for s, p in parts.items())
+    slots = ", ".join(f"('{s}', {j}, {t})" for s, j, t in pfair_slots({f"={s}": p for s, p in MIXTURE.items()} | {OTHER: 1}))
+    return f"""
+with sizes(name, parts) as (values {sizes}),
+slots(name, turn, place) as (values {slots.replace("('=", "('")}),
+ranked as (
+  select doc_id, source, coalesce(name, '{OTHER}') name,
+         row_number() over (partition by coalesce(name, '{OTHER}') order by md5(concat_ws('#', doc_id, text))) - 1 k
+  from documents left join sizes on source = name),
+placed as (
+  select doc_id, source, k, k // {block} as block, parts, name from ranked join sizes using (name))
+select doc_id, source, block, (block // parts) * {sum(parts.values())} + place as slot,
+       ((block // parts) * {sum(parts.values())} + place) * {block} + k % {block} as position
+from placed p join slots s on p.name = s.name and p.block % p.parts = s.turn
+"""
+
+
+QUALITY = f"""
+with d as (
+  select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws from documents),
+words as (select doc_id, unnest(ws) word, generate_subscripts(ws, 1) pos from d),
+windows as (
+  select doc_id, pos, word || ' ' || lead(word, 1) over o || ' ' || lead(word, 2) over o || ' '
+         || lead(word, 3) over o || ' ' || lead(word, 4) over o five
+  from words window o as (partition by doc_id order by pos)),
+twice as (select doc_id, five from windows where five is not null group by all having count(*) > 1),
+hits as (select doc_id, pos from windows join twice using (doc_id, five)),
+gaps as (select doc_id, least(5, coalesce(pos - lag(pos) over (partition by doc_id order by pos), 5)) n from hits),
+repeats as (select doc_id, sum(n)::bigint n_repeat_words from gaps group by doc_id),
+lines as (
+  select doc_id, line, rtrim(regexp_replace(line, '[\\x09-\\x0D]', ' ', 'g'), ' ') plain
+  from (select doc_id, unnest(string_split(t, chr(10))) line from d)
+  where translate(line, {_BLANKS}, '') <> ''),
+counted as (
+  select *, len(string_split(trim(regexp_replace(plain, ' +', ' ', 'g'), ' '), ' ')) n,
+         length(translate(line, {_BLANKS}, '')) chars
+  from lines),
+judged as (
+  select doc_id, line, chars,
+         (not regexp_matches(plain, '[.!?:;…。！？]["''”’»)\\]]*$') and n < {_RULES.short_words})
+         or 100 * (length(plain) - length(translate(plain, '|»›•·', ''))) >= {_RULES.separator_percent} * n + 100
+         or 100 * (length(plain) - length(translate(plain, '{SYMBOLS}', ''))) > {3 * _RULES.symbol_percent} * n
+         or 100 * (length(plain) - length(replace(plain, '!', ''))) > {2 * _RULES.exclamation_percent} * n + 200
+         or regexp_matches(lower(plain), '{"|".join(BOILERPLATE)}') as fails
+  from counted),
+per_doc as (
+  select doc_id, coalesce(sum(chars) filter (fails), 0)::bigint lost_chars,
+         count(*) - count(distinct line) n_dup_lines
+  from judged group by doc_id),
+base as (
+  select d.doc_id, len(ws)::bigint n_words, length(translate(t, {_BLANKS}, ''))::bigint word_chars,
+         (length(t) - length(translate(t, '{SYMBOLS}', '')))::bigint n_symbols,
+         coalesce(n_dup_lines, 0) n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words,
+         coalesce(lost_chars, 0) lost_chars
+  from d left join per_doc using (doc_id) left join repeats using (doc_id))
+select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+       not (n_words < 10 or 100 * n_repeat_words > 20 * n_words)
+       and not 100 * lost_chars > {_RULES.lost_percent} * word_chars as kept
+from base
+"""
+
+ORACLE: dict[str, str] = {
+    "op4_chunked_warc": WARC,
+    "op9_pfair_mixture": _mixture(),
+    "op10_line_quality": QUALITY,
+}
