@@ -69,6 +69,10 @@ def _entropy(column: Column) -> Column:
         lambda acc, c: F.when(c == "", acc).otherwise(acc - share(c) * F.log2(share(c))))).otherwise(0.0)
 
 
+def _half(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(5)), F.lit(2))
+
+
 def lexical(urls: DataFrame) -> DataFrame:
     """Add the lexical features and suffixes of ``_llm_url``, ``host`` and ``path``."""
     url = F.coalesce("_llm_url", F.lit(""))
@@ -90,7 +94,7 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 @dataclass
 class UrlModel:
-    """Fitted trees with the block share of every suffix; without both classes, one fixed verdict."""
+    """Fitted trees with the labels of every suffix; without both classes, one fixed verdict."""
 
     settings: TreeSettings
     trees: object | None
@@ -98,10 +102,16 @@ class UrlModel:
     share: float
     suffixes: dict[str, DataFrame]
 
-    def _with_shares(self, rows: DataFrame) -> DataFrame:
+    def with_shares(self, rows: DataFrame, training: bool = False) -> DataFrame:
+        """Add block shares; a training row gets those of the other half, which its own label is not part of."""
+        half, k = _half(F.col("_llm_url")), self.settings.smoothing
         for c, stats in self.suffixes.items():
-            rows = rows.join(stats, F.col(c) == F.col(f"_{c}"), "left").withColumn(
-                f"{c}_block", F.coalesce(f"{c}_block", F.lit(self.share))).drop(f"_{c}")
+            rows = rows.join(stats, F.col(c) == F.col("_suffix"), "left")
+            own = (lambda x: F.when(half == 0, F.col(f"{x}1")).otherwise(F.col(f"{x}0"))) if training else (
+                lambda x: F.col(f"{x}0") + F.col(f"{x}1"))
+            share = (own("_b") + k * self.share) / (own("_n") + k)
+            rows = rows.withColumn(f"{c}_block", F.coalesce(share, F.lit(self.share))).drop(
+                "_suffix", "_n0", "_n1", "_b0", "_b1")
         return rows
 
     def score(self, rows: DataFrame) -> DataFrame:
@@ -109,7 +119,7 @@ class UrlModel:
         if self.trees is None:
             return rows.withColumn("block", F.lit(self.fixed))
         ready = VectorAssembler(inputCols=_FEATURES, outputCol="_features").transform(
-            self._with_shares(lexical(rows)))
+            self.with_shares(lexical(rows)))
         return self.trees.transform(ready).withColumn(
             "block", vector_to_array("probability")[1]).select(*rows.columns, "block")
 
@@ -126,17 +136,16 @@ def fit(labelled: DataFrame, settings: TreeSettings = TreeSettings()) -> UrlMode
     n, blocked = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n or not blocked or blocked == n:
         return UrlModel(settings, None, float(bool(n and blocked)), float(bool(n and blocked)), {})
-    share, k = blocked / n, settings.smoothing
-    suffixes = {
-        c: rows.groupBy(F.col(c).alias(f"_{c}")).agg(
-            ((F.sum("label") + k * share) / (F.count(F.lit(1)) + k)).alias(f"{c}_block"))
-        for c in ("suffix1", "suffix2", "ending")
-    }
+    share, half = blocked / n, _half(F.col("_llm_url"))
+    sums = [F.sum((half == h).cast("long") * weight).alias(f"{x}{h}")
+            for x, weight in (("_n", F.lit(1)), ("_b", F.col("label"))) for h in (0, 1)]
+    suffixes = {c: rows.groupBy(F.col(c).alias("_suffix")).agg(*sums) for c in ("suffix1", "suffix2", "ending")}
     model = UrlModel(settings, None, 0.0, share, suffixes)
     part = min(1.0, settings.rows / n)
     if part < 1:
         rows = rows.where(F.pmod(F.xxhash64("_llm_url", F.lit(3)), F.lit(1 << 20)) < int(part * (1 << 20)))
-    ready = VectorAssembler(inputCols=_FEATURES, outputCol="_features").transform(model._with_shares(rows))
+    ready = VectorAssembler(inputCols=_FEATURES, outputCol="_features").transform(
+        model.with_shares(rows, training=True))
     model.trees = GBTClassifier(
         featuresCol="_features", labelCol="label", maxIter=settings.trees, maxDepth=settings.depth, seed=1
     ).fit(ready.select("_features", F.col("label").cast("double").alias("label")))
