@@ -125,7 +125,7 @@ def write_archives(
                     if sink is None:
                         store.create_dir(base, recursive=True)
                         path, at, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                        sink = store.open_output_stream(f"{base}/{path}")
+                        sink = store.open_output_stream(f"{base}/{path}", compression=None)
                     member, digest, due = zlib.compressobj(level, wbits=31), hashlib.sha256(), 0
                     start = header(key, url, n_bytes, declared, refers, date)
                     sink.write(member.compress(start))
@@ -219,7 +219,7 @@ def read_archives(
         for part in parts:
             for path in part.column(0).to_pylist():
                 rows, digest, n = [], None, 0
-                with store.open_input_stream(f"{base}/{path}") as stream:
+                with store.open_input_stream(f"{base}/{path}", compression=None) as stream:
                     for fields, number, chunk, last in stream_records(stream, chunk_bytes):
                         if number == 0:
                             digest, n = hashlib.sha256(), 0
