@@ -256,6 +256,27 @@ def near_duplicates(
         F.coalesce("_component", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def keep_one_of_each(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", banding: Banding = Banding()
+) -> DataFrame:
+    """Rows of ``docs``, with all columns, without those that are near-duplicates of a kept document.
+
+    Of each group the smallest key stays.  Rows that repeat a kept key with the
+    same text are one document and one of them stays; rows without a key and
+    documents without words all stay.
+    """
+    gone = near_duplicates(docs, key, text, banding).where("not kept").select(F.col("doc_id").alias("llm_gone"))
+    left = docs.join(gone, F.col(key).cast("long") == F.col("llm_gone"), "left_anti")
+    repeated = docs.groupBy(F.col(key).alias("llm_again")).agg(F.count(F.lit(1)).alias("llm_rows")).where(
+        "llm_rows > 1 and llm_again is not null")
+    repeated = written(repeated.select("llm_again"), "repeated-keys")
+    if not repeated.head(1):
+        return left
+    once = left.join(repeated, F.col(key) == F.col("llm_again"), "left_anti")
+    again = left.join(repeated, F.col(key) == F.col("llm_again"), "left_semi").dropDuplicates([key, text])
+    return once.union(again)
+
+
 def _ties(tied: DataFrame, least: DataFrame) -> DataFrame:
     """Links through documents that represent one set and belong to another as well."""
     return tied.join(least.select(F.col("rep").alias("a")).distinct(), "a", "left_semi").select("a", "b")
