@@ -97,8 +97,10 @@ def quality_columns(
         "_codes": _window_codes(F.col("_words")),
         "lost_chars": (F.col("word_chars") - F.length(_without(F.col("clean"), BLANKS))).cast("long"),
     }).drop("_words", "_lines")
-    # Only texts with a repeated window have their windows sorted.
-    repeats = F.size("_codes") > F.size(F.array_distinct("_codes"))
+    # Only texts with a repeated window have their windows sorted.  The row number is never below 0; it keeps a filter on
+    # the result from being moved below this step, where it would do the step again for each window.
+    repeats = (F.size("_codes") > F.size(F.array_distinct("_codes"))) & (
+        F.monotonically_increasing_id() >= 0)
     rows = rows.withColumn("_sorted", F.when(repeats, F.array_sort(
         F.transform("_codes", lambda c, i: F.struct(c.alias("code"), i.alias("at")))))).drop("_codes")
     neighbour = lambda i: F.get(F.col("_sorted"), i)["code"]
