@@ -42,17 +42,19 @@ def _count(column: Column, characters: str) -> Column:
     return F.length(column) - F.length(_without(column, characters))
 
 
-def line_fails(line: Column, rules: LineRules) -> Column:
-    """Whether one line with at least one word is removed."""
-    plain = F.rtrim(F.regexp_replace(line, r"[\x09-\x0D]", " "))
-    n_words = F.size(F.split(F.trim(F.regexp_replace(plain, " +", " ")), " "))
+def _plain(line: Column) -> Column:
+    return F.rtrim(F.translate(line, BLANKS, " " * len(BLANKS)))
+
+
+def line_fails(plain: Column, n_words: Column, rules: LineRules) -> Column:
+    """Whether a line with at least one word, blanks as spaces and none at its end, is removed."""
     ended = plain.rlike(r"""[.!?:;…。！？]["'”’»)\]]*$""")
     phrases = "|".join(BOILERPLATE)
     return (
         (~ended & (n_words < rules.short_words))
         | (100 * _count(plain, _SEPARATORS) >= rules.separator_percent * n_words + 100)
         | (100 * _count(plain, SYMBOLS) > 3 * rules.symbol_percent * n_words)
-        | (100 * F.length(F.regexp_replace(plain, "[^!]", "")) > 2 * rules.exclamation_percent * n_words + 200)
+        | (100 * _count(plain, "!") > 2 * rules.exclamation_percent * n_words + 200)
         | F.lower(plain).rlike(phrases)
     )
 
@@ -64,14 +66,19 @@ def _has_word(line: Column) -> Column:
 def clean_text(text: Column, rules: LineRules) -> Column:
     """The lines that pass; lines without a word stay."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    return F.array_join(F.filter(lines, lambda x: ~(_has_word(x) & line_fails(x, rules))), "\n")
+    # Each step hands its result on, as nothing is shared inside one lambda.
+    plain = F.transform(lines, lambda x: F.struct(x.alias("line"), _plain(x).alias("plain")))
+    counted = F.transform(plain, lambda x: F.struct(
+        x["line"].alias("line"), x["plain"].alias("plain"),
+        F.size(F.filter(F.split(x["plain"], " "), lambda w: w != "")).alias("n")))
+    passed = F.filter(counted, lambda x: (x["n"] == 0) | ~line_fails(x["plain"], x["n"], rules))
+    return F.array_join(F.transform(passed, lambda x: x["line"]), "\n")
 
 
 def _window_codes(words: Column) -> Column:
-    """A code for each window of five words."""
-    n = F.size(words) - 4
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(-1, 4)]))
+    """A code for each window of five words, from the words' codes."""
+    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 4, F.lit(0))),
+                       lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, 5)]))
 
 
 def quality_columns(
@@ -93,10 +100,10 @@ def quality_columns(
     })
     rows = rows.withColumns({
         "n_words": F.size("_words").cast("long"),
+        "_words": F.transform("_words", lambda w: F.xxhash64(w)),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_codes": _window_codes(F.col("_words")),
         "lost_chars": (F.col("word_chars") - F.length(_without(F.col("clean"), BLANKS))).cast("long"),
-    }).drop("_words", "_lines")
+    }).drop("_lines").withColumn("_codes", _window_codes(F.col("_words"))).drop("_words")
     # Only texts with a repeated window have their windows sorted.  The row number is never below 0; it keeps a filter on
     # the result from being moved below this step, where it would do the step again for each window.
     repeats = (F.size("_codes") > F.size(F.array_distinct("_codes"))) & (
