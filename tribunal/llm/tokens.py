@@ -15,8 +15,8 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Units remembered by one worker; beyond it the memory starts afresh.
-REMEMBERED = 400_000
+#: Units of one generation of a worker's memory; it holds two.
+REMEMBERED = 300_000
 _TWO_SPACES = re.compile(r"\s\s")
 _FIRST = "\n\n"
 _BLANKS = re.compile(r"[ \n]+")
@@ -44,6 +44,26 @@ def _rule(spec: dict) -> str:
     return "whole"
 
 
+class Known(dict):
+    """Ids by unit; units that have not been used for a whole generation are forgotten."""
+
+    def __init__(self, ask):
+        super().__init__()
+        self.ask, self.older = ask, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.pop(unit, None)
+        if ids is None:
+            ids = self.ask(unit)
+        self[unit] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -52,11 +72,10 @@ class Encoder:
         special = "".join(x["content"] for x in spec.get("added_tokens", []))
         self.rule = _rule(spec) if not re.search(r"\s", special) else "whole"
         self.vocabulary = self.library.get_vocab_size()
-        self.known: dict[str, bytes] = {}
+        self.known = Known(lambda unit: self._ask(self._spelled(unit)))
 
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _ask(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _units(self, text: str) -> list[str]:
         if self.rule == "dropped":
@@ -69,19 +88,13 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
-        units = [self._units(t or "") for t in texts]
-        missing = set().union(*units) - self.known.keys()
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = set().union(*units)
-        if missing:
-            asked = list(missing)
-            self.known.update(zip(asked, self._ask([self._spelled(u) for u in asked])))
+        self.known.age()
         look = self.known.__getitem__
-        out = [b"".join(map(look, u)) if u else b"" for u in units]
+        units = [self._units(t or "") for t in texts]
+        out = [b"".join(map(look, u)) for u in units]
         whole = [i for i, (u, t) in enumerate(zip(units, texts)) if not u and t]
-        for i, ids in zip(whole, self._ask([texts[i] for i in whole]) if whole else []):
-            out[i] = ids
+        for i in whole:
+            out[i] = self._ask(texts[i])
         return out
 
     def _spelled(self, unit: str) -> str:
