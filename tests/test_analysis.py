@@ -167,6 +167,23 @@ def test_json_layouts(spark, tmp_path):
             assert df.columns == ["b", "a"], title
 
 
+def test_json_columns_of_all_records_and_long_integers(spark, tmp_path):
+    records = [{"z": 1, "m": {"k": 1}}] * 300 + [{"z": 2, "b": "m", "a": 9}]
+    for title, text in {"lines": "\n".join(map(json.dumps, records)), "one": json.dumps(records)}.items():
+        path = tmp_path / f"late-{title}.json"
+        path.write_text(text)
+        df = read_table(spark, str(path))
+        assert df.columns == ["z", "m", "b", "a"] and df.count() == 301, title
+    nested = tmp_path / "nested.json"
+    nested.write_text("\n".join(json.dumps({"p": {"x": i}, "q": {"x": i}}) for i in range(3)))
+    assert read_table(spark, str(nested)).columns == ["p", "q"]
+    path = tmp_path / "ids.csv"
+    path.write_text("id,big\n9223372036854775807,99999999999999999999\n1,2\n")
+    df = read_table(spark, str(path))
+    assert dict(df.dtypes) == {"id": "bigint", "big": "double"}
+    assert df.first()["id"] == 9223372036854775807
+
+
 def test_unsupported_files(spark, tmp_path):
     with pytest.raises(UnsupportedFormat):
         read_table(spark, str(tmp_path / "book.xlsx"))

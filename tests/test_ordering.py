@@ -62,3 +62,11 @@ def test_folds_are_balanced_and_stable(spark):
     again = stratified_folds(df.repartition(13), "id", "label", 1003, mode="exact")
     assert folded.exceptAll(again).count() == 0
     assert kfold(df, "id").exceptAll(kfold(df.repartition(9), "id")).count() == 0
+
+
+def test_folds_do_not_change_with_the_row_count_given(spark):
+    df = spark.range(300).selectExpr("id", "id % 3 = 0 as label")
+    small, large = ({r["id"]: r["fold"] for r in stratified_folds(df, "id", "label", n).collect()}
+                    for n in (300, 200_000_000))
+    for folds in (small, large):
+        assert sorted(folds.values()) == sorted(i % 5 for i in range(300))

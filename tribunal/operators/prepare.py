@@ -341,7 +341,7 @@ def class_codes(df: DataFrame, target: str) -> DataFrame:
 
 
 def encode_target(df: DataFrame, target: str, output: str = "label") -> tuple[DataFrame, DataFrame]:
-    """Add the class code as double; also return the (label, code) table.
+    """Add the class code as double (null for a null target); also return the (label, code) table.
 
     The codes of few classes are literals; otherwise a join whose strategy is
     left to the optimizer and whose hot labels are split by adaptive execution.
@@ -354,7 +354,7 @@ def encode_target(df: DataFrame, target: str, output: str = "label") -> tuple[Da
         position = F.array_position(F.array(*[F.lit(v) for v in ordered]), text) - 1
         return df.withColumn(output, position.cast("double")), codes
     renamed = codes.select(F.col("label").alias("_label"), F.col("code").cast("double").alias(output))
-    joined = df.withColumn("_text", text).join(renamed, F.col("_text") == F.col("_label"), "inner")
+    joined = df.withColumn("_text", text).join(renamed, F.col("_text") == F.col("_label"), "left")
     return joined.drop("_text", "_label"), codes
 
 

@@ -5,6 +5,8 @@ Used only to check results; nothing in the library reads this module.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from tribunal.functions import rules
 
 _DOCS = """docs as (
@@ -361,6 +363,11 @@ _BLANKED = """blanked as (
 _KFOLD = "(('0x' || substr(md5(p_partkey::varchar || '#42'), 1, 15))::bigint % 5)::int"
 
 
+_WIDE = (
+    {c: c for c in _VARIED} | {f"{c}_squared": f"{c} * {c}" for c in _VARIED}
+    | {f"{c}_root": f"sqrt(abs({c}))" for c in _VARIED[:3]}
+)
+
 ORACLE: dict[str, str] = {
     "csv_roundtrip": "select p_partkey, p_name, p_brand, p_type, p_size::bigint as p_size, p_retailprice from part",
     "json_roundtrip": "select p_partkey, p_name, p_brand, p_type, p_size::bigint as p_size, p_retailprice from part",
@@ -437,9 +444,8 @@ ORACLE: dict[str, str] = {
         "case when v < 0.001 then 'dropped' else 'kept' end as decision from v",
     "correlation_matrix": _CORR + " select feature_i, feature_j, round(c, 6) as corr from pairs",
     "correlation_matrix_wide": f"with {_COLLINEAR} " + _union(
-        f"select '{name}' as feature_j, round(abs(corr(l_quantity, {expr})), 6) as corr from collinear" for name, expr in
-        [(c, c) for c in _VARIED[1:]] + [(f"{c}_squared", f"{c} * {c}") for c in _VARIED]
-        + [(f"{c}_root", f"sqrt(abs({c}))") for c in _VARIED[:3]]),
+        f"select '{min(a, b)}' as one, '{max(a, b)}' as other, round(abs(corr({_WIDE[a]}, {_WIDE[b]})), 6) as corr "
+        "from collinear" for a, b in combinations(_WIDE, 2)),
     "correlation_prune": _CORR + """ select feature_j as dropped, string_agg(feature_i, ',' order by i) as correlated_with,
         round(max(c), 4) as correlation from pairs where c > 0.9 group by j, feature_j""",
     "feature_report": _CORR + """, v as (""" + _union(

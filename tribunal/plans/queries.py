@@ -199,12 +199,13 @@ def correlation_matrix(spark, folder):
 
 
 def correlation_matrix_wide(spark, folder):
-    """The Gram-matrix form used beyond a handful of columns."""
+    """More pairs than one aggregate holds."""
     df = T.collinear(spark, folder).drop("constant")
     shifted = df.select("*", *[(F.col(c) * F.col(c)).alias(f"{c}_squared") for c in df.columns],
                         *[F.sqrt(F.abs(c)).alias(f"{c}_root") for c in df.columns[:3]])
-    return E.correlation_matrix(shifted, shifted.columns).filter("feature_i = 'l_quantity'").select(
-        "feature_j", F.round("corr", 6).alias("corr"))
+    return E.correlation_matrix(shifted, shifted.columns).select(
+        F.least("feature_i", "feature_j").alias("one"), F.greatest("feature_i", "feature_j").alias("other"),
+        F.round("corr", 6).alias("corr"))
 
 
 def correlation_prune(spark, folder):
@@ -257,7 +258,7 @@ def feature_ranking(spark, folder):
 
 def stratified(spark, folder):
     orders = T.table(spark, folder, "orders")
-    return stratified_folds(orders, "o_orderkey", "o_orderstatus", orders.count(), mode="exact").select(
+    return stratified_folds(orders, "o_orderkey", "o_orderstatus", orders.count()).select(
         "o_orderkey", "o_orderstatus", "fold")
 
 
@@ -404,7 +405,7 @@ def importance_view(spark, folder):
 def _forest(spark, folder):
     from pyspark.ml.regression import RandomForestRegressor
     rows = _price_vectors(spark, folder).repartition(8, "row_id").sortWithinPartitions("row_id")
-    return rows, RandomForestRegressor(numTrees=10, maxDepth=6, maxBins=64, seed=rules.SEED).fit(rows)
+    return rows, RandomForestRegressor(numTrees=100, maxDepth=6, maxBins=64, seed=rules.SEED).fit(rows)
 
 
 def tree_shap(spark, folder):
@@ -501,15 +502,15 @@ def _analysis_leaderboard(a: Analysis) -> DataFrame:
                            else "test_r2", "overfit_gap", "composite_score", "rank")
 
 
-def doc_analysis(spark, folder, profile="fast") -> Analysis:
+def doc_analysis(spark, folder, profile="full") -> Analysis:
     return analyze(T.doc_quality(spark, folder), "quality", key="doc_id", profile=profile)
 
 
-def price_analysis(spark, folder, profile="fast") -> Analysis:
+def price_analysis(spark, folder, profile="full") -> Analysis:
     return analyze(T.part_price(spark, folder), "p_retailprice", PRICE_FEATURES, "p_partkey", profile)
 
 
-def role_analysis(spark, folder, profile="fast") -> Analysis:
+def role_analysis(spark, folder, profile="full") -> Analysis:
     return analyze(T.turn_roles(spark, folder), "role", key="turn_id", profile=profile)
 
 

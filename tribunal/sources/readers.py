@@ -8,10 +8,6 @@ from tribunal.functions import rules
 from tribunal.functions.columns import name
 
 
-_HEAD_LINES = 200
-_HEAD_CHARS = 65_536
-
-
 class UnsupportedFormat(ValueError):
     """The file is in a format that cannot be read."""
 
@@ -55,7 +51,7 @@ def infer_types(raw: DataFrame, missing: list[str] = rules.CSV_MISSING) -> DataF
         trimmed = F.trim(text)
         checks += [
             F.count(text).alias(f"n{i}"),
-            F.count(F.when(trimmed.rlike(r"^[+-]?\d{1,18}$"), 1)).alias(f"i{i}"),
+            F.count(F.when(trimmed.rlike(r"^[+-]?\d{1,19}$"), trimmed.try_cast("bigint"))).alias(f"i{i}"),
             F.count(F.when(~trimmed.rlike(r"[dDfF]$"), trimmed.try_cast("double"))).alias(f"d{i}"),
             F.count(F.when(trimmed.isin("True", "False", "true", "false", "TRUE", "FALSE"), 1)).alias(f"b{i}"),
         ]
@@ -80,27 +76,40 @@ def _cast(text: Column, present: int, integers: int, doubles: int, booleans: int
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of records, one record per line, or columns of row keys."""
-    head = (
-        spark.read.text(path).filter(F.trim("value") != "")
-        .select(F.substring("value", 1, _HEAD_CHARS).alias("text"),
-                (F.trim("value").startswith("{") & F.get_json_object("value", "$").isNotNull()).alias("whole"))
-        .limit(_HEAD_LINES).collect()
-    )
-    lines = bool(head) and head[0]["whole"]
+    """An array of records, one record per line, or columns of row keys.
+
+    Columns come in the order in which the records, one after the other, name
+    them; the layout is judged by all lines.
+    """
+    text = spark.read.text(path).filter(F.trim("value") != "")
+    whole = F.trim("value").startswith("{") & F.get_json_object("value", "$").isNotNull()
+    lines = bool(text.agg(F.bool_and(whole)).first()[0])
+    if lines:
+        objects = text.select("value")
+    else:
+        # One array is one value for the parser, too.
+        file = spark.read.text(path, wholetext=True)
+        parts = F.when(F.trim("value").startswith("{"), F.array("value")).otherwise(
+            F.from_json("value", T.ArrayType(T.StringType())))
+        objects = file.select(F.explode(parts).alias("value"))
     df = spark.read.json(path, multiLine=not lines)
     if "_corrupt_record" in df.columns:
         raise UnsupportedFormat("The JSON text cannot be parsed.")
-    structs = [isinstance(f.dataType, T.StructType) for f in df.schema.fields]
-    if structs and all(structs):
+    kinds = [f.dataType for f in df.schema.fields]
+    if kinds and all(isinstance(k, T.StructType) for k in kinds) and len({frozenset(k.names) for k in kinds}) == 1 \
+            and len(objects.limit(2).collect()) == 1:
         return _from_columns(df)
-    return df.select(*_natural_order("\n".join(r["text"] for r in head), df.columns))
+    return df.select(*[name(c) for c in _met_order(objects, df.columns)])
 
 
-def _natural_order(text: str, columns: list[str]) -> list[Column]:
-    """Columns as first met in the text; the inferred schema sorts them by name."""
-    place = {c: text.find(f'"{c}"') for c in columns}
-    return [name(c) for c in sorted(columns, key=lambda c: (place[c] if place[c] >= 0 else len(text), c))]
+def _met_order(objects: DataFrame, columns: list[str]) -> list[str]:
+    """Columns by the first record that names them; the inferred schema sorts them by name."""
+    keys = objects.select(F.monotonically_increasing_id().alias("row"), F.json_object_keys("value").alias("keys"))
+    first = keys.select("row", F.posexplode("keys").alias("place", "key")).groupBy("key").agg(
+        F.min(F.struct("row", "place")).alias("met"))
+    met = {r["key"]: (r["met"]["row"], r["met"]["place"]) for r in first.collect()}
+    late = (float("inf"), 0)
+    return sorted(columns, key=lambda c: (met.get(c, late), c))
 
 
 def _from_columns(df: DataFrame) -> DataFrame:
