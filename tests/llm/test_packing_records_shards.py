@@ -27,9 +27,10 @@ def ids_of(path, text, end):
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_units_give_the_ids_of_whole_texts(path):
     texts = ["a  b", " a", "a ", "", "a\n b", "a \n b", "don't 's x", "Ça été ́", "tab\tx y", "ß ẞ İ Σς ΟΔΟΣ x",
-             "12 345 a1 1a", "x y  z", "a<|endoftext|>b <|endoftext|> c", "\0 a \0b", "end\n", "\x1c q", "日本 語 ok"]
+             "12 345 a1 1a", "x y  z", "a<|endoftext|>b <|endoftext|> c", "\0 a \0b", "end\n", "\x1c q", "日本 語 ok",
+             "e\u0301te\u0301 x\u0301\u0323", "Å K ﬁ", "a\u00a0b c\u3000 d", "x \u0301y", "İİ İ. Σ", "👩‍💻 👍🏽!"]
     expected = [ids_of(path, t, 9)[:-1] for t in texts]
-    for part in (texts, texts[::-1]):
+    for part in (texts, texts[::-1], [f"{t} {k}{t}" for k in "ab" for t in texts] + texts):
         got = dict(zip(part, encoder(path).encode(part)))
         assert [np.frombuffer(got[t], "<u4").tolist() for t in texts] == expected
 

@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Units of one generation of a worker's memory; it holds two.
 REMEMBERED = 300_000
+#: Units put to the library in one text.
+ASKED = 4_096
 _TWO_SPACES = re.compile(r"\s\s")
 _FIRST = "\n\n"
 _BLANKS = re.compile(r"[ \n]+")
@@ -44,26 +47,6 @@ def _rule(spec: dict) -> str:
     return "whole"
 
 
-class Known(dict):
-    """Ids by unit; units that have not been used for a whole generation are forgotten."""
-
-    def __init__(self, ask):
-        super().__init__()
-        self.ask, self.older = ask, {}
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.older.pop(unit, None)
-        if ids is None:
-            ids = self.ask(unit)
-        self[unit] = ids
-        return ids
-
-    def age(self) -> None:
-        if len(self) > REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-
-
 class Encoder:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -72,11 +55,63 @@ class Encoder:
         special = "".join(x["content"] for x in spec.get("added_tokens", []))
         self.rule = _rule(spec) if not re.search(r"\s", special) else "whole"
         self.vocabulary = self.library.get_vocab_size()
-        self.known = Known(lambda unit: self._ask(self._spelled(unit)))
+        self.widths = self._widths()
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _widths(self) -> np.ndarray:
+        """Bytes of text that each id stands for."""
+        out = np.zeros(self.vocabulary, dtype=np.int64)
+        for token, i in self.library.get_vocab().items():
+            if i < len(out):
+                out[i] = len(token.removesuffix("</w>") if self.rule == "dropped" else token)
+        return out
 
     def _ask(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _learn(self, units: list[str]) -> None:
+        """Ask about many units in one text; units that are not plain, and all if the answer does not fit, one by one."""
+        spelled = [self._spelled(u) for u in units]
+        plain = [i for i, s in enumerate(spelled) if s and s.replace("\n", "").isprintable() and s[-1] not in " \n"
+                 and (s[0] == " " or self.rule == "dropped")]
+        alone = set(range(len(units))).difference(plain)
+        if plain:
+            parts = [spelled[i] for i in plain]
+            if self.rule == "led":
+                joined = "".join(parts)
+            else:
+                joined = " ".join(parts)
+                # The tokens spell the normal form.
+                parts = unicodedata.normalize("NFC", joined).lower().split(" ")
+            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum([len(s.encode()) for s in parts])
+            reached = np.cumsum(self.widths[ids])
+            cuts = np.searchsorted(reached, ends) + 1
+            if len(cuts) == len(plain) and cuts[-1] == len(ids) and np.array_equal(reached[cuts - 1], ends):
+                raw, at = ids.tobytes(), 0
+                for i, cut in zip(plain, (cuts * 4).tolist()):
+                    self.known[units[i]] = raw[at:cut]
+                    at = cut
+            else:
+                alone.update(plain)
+        for i in alone:
+            self.known[units[i]] = self._ask(spelled[i])
+
+    def _remember(self, texts: list[list[str]]) -> None:
+        """Have the ids of all these units; units not used for a whole generation are forgotten."""
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        new = []
+        for unit in set().union(*texts).difference(self.known):
+            ids = self.older.pop(unit, None)
+            if ids is None:
+                new.append(unit)
+            else:
+                self.known[unit] = ids
+        for i in range(0, len(new), ASKED):
+            self._learn(new[i:i + ASKED])
+
     def _units(self, text: str) -> list[str]:
         if self.rule == "dropped":
             return _BLANKS.split(text)
@@ -88,9 +123,9 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
-        self.known.age()
-        look = self.known.__getitem__
         units = [self._units(t or "") for t in texts]
+        self._remember(units)
+        look = self.known.__getitem__
         out = [b"".join(map(look, u)) for u in units]
         whole = [i for i, (u, t) in enumerate(zip(units, texts)) if not u and t]
         for i in whole:
