@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tribunal.llm.common import prepare_workers, total
+from tribunal.llm.common import prepare_workers, total, written
 from tribunal.llm.tokens import encoder
 from tribunal.session import new_path
 
@@ -226,13 +226,15 @@ def read_records(spark: SparkSession, files: RecordFiles) -> DataFrame:
 def with_starts(records: DataFrame, files: RecordFiles) -> DataFrame:
     """Add ``start``: ids of all documents before each one, over all files in key order.
 
-    Only one row per file is summed up in order.
+    The files are read once.  Only one row per file is summed up in order; these
+    sums and the records are tables, so a join knows which one is small.
     """
+    records = written(records, "read")
     first = files.index.where("file_bytes is not null").select(F.col("file").alias("_file"), "first_key", "first_row")
     sizes = records.groupBy("file").agg(F.sum("n_tokens").alias("_ids")).join(first, F.col("file") == F.col("_file"))
     before = Window.orderBy(F.col("first_key").asc_nulls_first(), "first_row").rowsBetween(
         Window.unboundedPreceding, -1)
-    bases = sizes.select("_file", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_base"))
+    bases = written(sizes.select("_file", F.coalesce(F.sum("_ids").over(before), F.lit(0)).alias("_base")), "bases")
     return (
         records.join(bases, F.col("file") == F.col("_file"))
         .withColumn("start", F.col("_base") + F.col("before")).drop("_base", "_file")
