@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,6 +17,7 @@ BOILERPLATE = (
     "terms of use", "use of cookies", "use cookies",
 )
 _SEPARATORS = "|»›•·"
+_BLANK = r"[\x20\x09-\x0D]+"
 
 
 @dataclass(frozen=True)
@@ -34,33 +36,42 @@ class LineRules:
     lost_percent: int = 30
 
 
-def _without(column: Column, characters: str) -> Column:
-    return F.translate(column, characters, "")
+def _class(characters: str) -> str:
+    """Characters as a pattern; none of them is special inside brackets."""
+    return f"[{characters}]"
 
 
 def _count(column: Column, characters: str) -> Column:
-    return F.length(column) - F.length(_without(column, characters))
+    return F.length(column) - F.length(F.regexp_replace(column, _class(characters), ""))
+
+
+def _word_chars(column: Column) -> Column:
+    return F.length(F.regexp_replace(column, _BLANK, ""))
 
 
 def _plain(line: Column) -> Column:
-    return F.rtrim(F.translate(line, BLANKS, " " * len(BLANKS)))
+    return F.rtrim(F.regexp_replace(line, r"[\x09-\x0D]", " "))
 
 
-def line_fails(plain: Column, n_words: Column, rules: LineRules) -> Column:
-    """Whether a line with at least one word, blanks as spaces and none at its end, is removed."""
+def line_fails(plain: Column, lowered: Column, rules: LineRules) -> Column:
+    """Whether a line with at least one word, blanks as spaces and none at its end, is removed.
+
+    Words are counted only for lines with a character that some rule counts.
+    """
     ended = plain.rlike(r"""[.!?:;…。！？]["'”’»)\]]*$""")
-    phrases = "|".join(BOILERPLATE)
-    return (
-        (~ended & (n_words < rules.short_words))
-        | (100 * _count(plain, _SEPARATORS) >= rules.separator_percent * n_words + 100)
+    enough = plain.rlike(rf"^ *[^ ]+(?: +[^ ]+){{{rules.short_words - 1}}}") if rules.short_words > 0 else F.lit(True)
+    n_words = F.size(F.array_remove(F.split(plain, " "), ""))
+    counted = (
+        (100 * _count(plain, _SEPARATORS) >= rules.separator_percent * n_words + 100)
         | (100 * _count(plain, SYMBOLS) > 3 * rules.symbol_percent * n_words)
         | (100 * _count(plain, "!") > 2 * rules.exclamation_percent * n_words + 200)
-        | F.lower(plain).rlike(phrases)
     )
+    phrases = reduce(lambda a, b: a | b, [lowered.contains(p) for p in BOILERPLATE])
+    return (~enough & ~ended) | (plain.rlike(_class(_SEPARATORS + SYMBOLS + "!")) & counted) | phrases
 
 
 def _has_word(line: Column) -> Column:
-    return _without(line, BLANKS) != ""
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def clean_text(text: Column, rules: LineRules) -> Column:
@@ -68,10 +79,9 @@ def clean_text(text: Column, rules: LineRules) -> Column:
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     # Each step hands its result on, as nothing is shared inside one lambda.
     plain = F.transform(lines, lambda x: F.struct(x.alias("line"), _plain(x).alias("plain")))
-    counted = F.transform(plain, lambda x: F.struct(
-        x["line"].alias("line"), x["plain"].alias("plain"),
-        F.size(F.filter(F.split(x["plain"], " "), lambda w: w != "")).alias("n")))
-    passed = F.filter(counted, lambda x: (x["n"] == 0) | ~line_fails(x["plain"], x["n"], rules))
+    lowered = F.transform(plain, lambda x: F.struct(
+        x["line"].alias("line"), x["plain"].alias("plain"), F.lower(x["plain"]).alias("lowered")))
+    passed = F.filter(lowered, lambda x: (x["plain"] == "") | ~line_fails(x["plain"], x["lowered"], rules))
     return F.array_join(F.transform(passed, lambda x: x["line"]), "\n")
 
 
@@ -92,9 +102,9 @@ def quality_columns(
     """
     body = F.coalesce(F.col("_text"), F.lit(""))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")).withColumns({
-        "_words": F.filter(F.split(body, r"[\x20\x09-\x0D]+"), lambda w: w != ""),
+        "_words": F.array_remove(F.split(body, _BLANK), ""),
         "_lines": F.filter(F.split(body, "\n", -1), _has_word),
-        "word_chars": F.length(_without(body, BLANKS)).cast("long"),
+        "word_chars": _word_chars(body).cast("long"),
         "n_symbols": _count(body, SYMBOLS).cast("long"),
         "clean": clean_text(F.col("_text"), rules),
     })
@@ -102,7 +112,7 @@ def quality_columns(
         "n_words": F.size("_words").cast("long"),
         "_words": F.transform("_words", lambda w: F.xxhash64(w)),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "lost_chars": (F.col("word_chars") - F.length(_without(F.col("clean"), BLANKS))).cast("long"),
+        "lost_chars": (F.col("word_chars") - _word_chars(F.col("clean"))).cast("long"),
     }).drop("_lines").withColumn("_codes", _window_codes(F.col("_words"))).drop("_words")
     # Only texts with a repeated window have their windows sorted.  The row number is never below 0; it keeps a filter on
     # the result from being moved below this step, where it would do the step again for each window.
