@@ -8,6 +8,7 @@ from tribunal import analyze, load_scorer, read_table, save_scorer, write_analys
 from tribunal.functions import rules
 from tribunal.operators.candidates import Profile
 from tribunal.plans import fixtures as T
+from tribunal.plans.analysis import with_row_id
 from tribunal.sources.readers import UnsupportedFormat
 from tribunal.streaming.scoring import score_stream
 
@@ -193,3 +194,22 @@ def test_unsupported_files(spark, tmp_path):
 
 def test_entry(spark):
     assert E.entry(spark).count() == 5
+
+
+def test_csv_with_line_breaks_in_cells(spark, tmp_path):
+    path = tmp_path / "notes.csv"
+    path.write_text('id,note\n1,"first\nsecond, ""quoted"" line"\n2,plain\n3,"\n"\n')
+    df = read_table(spark, str(path))
+    assert df.dtypes == [("id", "bigint"), ("note", "string")]
+    assert sorted(tuple(r) for r in df.collect()) == [(1, 'first\nsecond, "quoted" line'), (2, "plain"), (3, "\n")]
+
+
+def test_row_ids_depend_on_rows_alone(spark):
+    rows = [(i % 5, None if i % 7 == 0 else "x", float(i % 3)) for i in range(300)] + [(9, "hot", 0.0)] * 150
+    df = spark.createDataFrame(rows, "`a.b` int, s string, v double")
+    one, key = with_row_id(df.repartition(7), None, block=16)
+    two, _ = with_row_id(df.coalesce(1), None)
+    assert key == "row_id" and one.columns == ["a.b", "s", "v", "row_id"]
+    assert sorted(one.collect(), key=str) == sorted(two.collect(), key=str)
+    assert sorted(tuple(r)[:3] for r in one.collect() if r.s) == sorted(r for r in rows if r[1])
+    assert one.count() == len(rows) == one.select("row_id").distinct().count()

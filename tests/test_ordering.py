@@ -70,3 +70,17 @@ def test_folds_do_not_change_with_the_row_count_given(spark):
                     for n in (300, 200_000_000))
     for folds in (small, large):
         assert sorted(folds.values()) == sorted(i % 5 for i in range(300))
+
+
+def test_earlier_sums_go_by_runs_of_parts(spark):
+    rows = [(g, p, (p * 7 + len(g or "")) % 11) for g in ("a", "bb", None) for p in range(0, 200, 3)]
+    got = O.earlier_sums(spark.createDataFrame(rows, "g string, p long, v long"), ["g"], "p", F.floor(F.col("p") / 16), "v")
+    expected = {(g, p): sum(v for h, q, v in rows if h == g and q < p) for g, p, _ in rows}
+    assert {(r.g, r.p): r._offset for r in got.collect()} == expected
+
+
+def test_spread_row_number_with_deep_buckets(spark):
+    df = spark.createDataFrame([(i % 2, i) for i in range(2000)], "g int, i long")
+    deep = O.spread_row_number(df, ["g"], ["i"], "n", O.ROWS_PER_BUCKET * 16 ** 4)
+    flat = O.spread_row_number(df, ["g"], ["i"], "n", 1)
+    assert sorted(deep.collect()) == sorted(flat.collect())

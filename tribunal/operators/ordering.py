@@ -30,6 +30,28 @@ def _with_offset(rows: DataFrame, offsets: DataFrame, groups: list[str], part: s
     return rows.join(renamed, match, "inner").drop(*keys.values())
 
 
+def earlier_sums(totals: DataFrame, groups: list[str], part: str, coarse: Column, value: str) -> DataFrame:
+    """Replace ``value`` by ``_offset``, its sum over the earlier parts of the group.
+
+    ``totals`` has one row per group and part.  ``coarse`` maps runs of
+    neighbouring parts to one value and keeps their order: sums go first over
+    these runs, then inside each, so no window holds all parts of a group.
+    """
+    keys = [name(c) for c in groups]
+    ahead = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    cut = totals.withColumn("_coarse", coarse)
+    runs = (
+        cut.groupBy(*keys, "_coarse").agg(F.sum(value).alias("_sum"))
+        .withColumn("_offset", F.coalesce(
+            F.sum("_sum").over(ahead(Window.partitionBy(*keys).orderBy("_coarse"))), F.lit(0)))
+        .drop("_sum")
+    )
+    inside = cut.withColumn("_inside", F.coalesce(
+        F.sum(value).over(ahead(Window.partitionBy(*keys, "_coarse").orderBy(part))), F.lit(0)))
+    return _with_offset(inside, runs, groups, "_coarse").withColumn(
+        "_offset", F.col("_offset") + F.col("_inside")).drop("_coarse", "_inside", value)
+
+
 def spread_row_number(
     df: DataFrame, groups: list[str], ordering: list[str], output: str, n_rows: int
 ) -> DataFrame:
@@ -49,13 +71,8 @@ def spread_row_number(
     if not digits:
         ranked = keyed.withColumn(output, F.row_number().over(inside).cast("long") - 1)
         return ranked.drop("_digest", "_bucket")
-    before = Window.partitionBy(*[name(c) for c in groups]).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy(*[name(c) for c in keys]).agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .drop("_rows")
-    )
+    counts = keyed.groupBy(*[name(c) for c in keys]).agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = earlier_sums(counts, groups, "_bucket", F.substring("_bucket", 1, max(0, digits - 3)), "_rows")
     return (
         keyed.withColumn("_rank", F.row_number().over(inside).cast("long") - 1)
         .transform(_with_offset, offsets, groups, "_bucket")

@@ -71,11 +71,27 @@ class Analysis:
             self.table.release()
 
 
-def with_row_id(df: DataFrame, key: str | None) -> tuple[DataFrame, str]:
-    """The key column, or a position number frozen in the shared folder."""
+def with_row_id(df: DataFrame, key: str | None, block: int = 100_000) -> tuple[DataFrame, str]:
+    """The key column, or a digest of the row with the number of its occurrence.
+
+    The ids depend on the rows alone, not on files or partitions.  Equal rows
+    are counted first and written out again in blocks, so a row that makes up
+    a third of the table is spread over tasks.
+    """
     if key is not None:
         return df, key
-    return freeze(df.withColumn("row_id", F.monotonically_increasing_id())), "row_id"
+    cells = [name(c) for c in df.columns]
+    plain = [name(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    counted = df.groupBy(*cells).agg(F.count(F.lit(1)).alias("_rows"))
+    digest = F.concat_ws("-", F.hex(F.xxhash64(*plain)), F.md5(F.to_json(F.struct(*cells)))) if plain else F.md5(
+        F.to_json(F.struct(*cells)))
+    blocks = counted.withColumn("_digest", digest).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_rows") - 1) / block))))
+    dealt = blocks.repartition("_digest", "_block")
+    within = F.sequence(F.col("_block") * block, F.least((F.col("_block") + 1) * block, F.col("_rows")) - 1)
+    numbered = dealt.select(*cells, "_digest", F.explode(within).alias("_occurrence"))
+    return freeze(numbered.select(
+        *cells, F.concat_ws("-", "_digest", "_occurrence").alias("row_id"))), "row_id"
 
 
 def prepared_rows(
