@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -114,3 +115,47 @@ def test_query_matches_brute_force(spark, folder):
             if c:
                 out.append(c[0])
         assert (got[d].text, got[d].removed_words, got[d].n_spans) == ("".join(out), removed, spans)
+
+
+def brute(docs, most=50):
+    """Text, removed words and number of spans: every window of more than ``most`` words of a smaller key goes."""
+    seen, out = {}, {}
+    for d, text in sorted(docs):
+        found = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
+        bad = [False] * len(found)
+        for i in range(len(found) - most):
+            window = tuple(m.group() for m in found[i:i + most + 1])
+            if seen.setdefault(window, d) != d:
+                bad[i:i + most + 1] = [True] * (most + 1)
+        starts = [0, *[m.start() for m in found[1:]], len(text)]
+        kept = "".join(text[starts[i]:starts[i + 1]] for i in range(len(found)) if not bad[i]) if found else text
+        out[d] = (kept, sum(bad), sum(b and not a for a, b in zip([False, *bad], bad)))
+    return out
+
+
+def test_every_passage_of_over_fifty_words_goes_whole(spark):
+    r = random.Random(6)
+    passages = [sentence(r, n) for n in [51] * 80 + [55] * 30 + [60] * 20] + ["w " * 51, "a b " * 40]
+    docs = [(2 * k + n, f"{sentence(r, r.randint(0, 9))} x{2 * k + n} " + (p if n else p.replace(" ", "\n")) + f" y{n} é "
+             + sentence(r, r.randint(0, 70)), "en", "a", 1) for k, p in enumerate(passages) for n in (0, 1)]
+    got = {x.doc_id: (x.text, x.llm_removed_words, len(x.llm_spans or ()))
+           for x in substring_dedup(documents(spark, docs)).collect()}
+    expected = brute([d[:2] for d in docs])
+    assert got == expected
+    assert all(expected[2 * k + 1][1] == len(words(p)) for k, p in enumerate(passages))
+
+
+def test_holders_other_than_the_first_count(spark):
+    r = random.Random(7)
+    p, q = sentence(r, 30), sentence(r, 60)
+    docs = [(1, f"{p} {sentence(r, 40)}"), (2, f"{sentence(r, 9)} {p} {q}"), (3, f"{p} {q} end"), (4, f"{q[:-6]} {p}")]
+    got = {x.doc_id: (x.text, x.llm_removed_words, len(x.llm_spans or ()))
+           for x in substring_dedup(documents(spark, [(*d, "en", "a", 1) for d in docs])).collect()}
+    assert got == brute(docs) and got[3][0] == "end"
+
+
+def test_query_removes_exactly_the_repeated_windows(spark, folder):
+    docs = [(r.doc_id, r.text) for r in table(spark, folder, "documents").collect() if r.text is not None]
+    got = {r.doc_id: (r.text, r.removed_words, r.n_spans) for r in Q.op8_gear_chunks(spark, folder).collect()}
+    expected = brute(docs)
+    assert {d: got[d] for d in expected} == expected and sum(v[1] for v in expected.values()) > 0

@@ -1,9 +1,10 @@
-"""Substring deduplication with content-defined chunks.
+"""Substring deduplication: passages of over 50 words that an earlier document has go, exactly.
 
-A gear rolling hash over the last bytes decides where a text is cut, so equal
-passages are cut alike wherever they stand and whatever was inserted before.
-Chunks are compared by digest over the whole corpus; runs of chunks that an
-earlier document has too are removed.
+Candidates first: of the gear hashes of 16 neighbouring words inside a window of
+51 words the smallest one is the window's anchor.  Equal windows have equal
+anchors wherever they stand, so a window whose anchor no other document has is
+not repeated.  Only the other windows are compared whole, by a 64-bit digest of
+their 51 words over the corpus.
 """
 
 from __future__ import annotations
@@ -107,43 +108,152 @@ def chunk_rows(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunking:
     return own, begin, stop, n_words, digest
 
 
-def chunks_of(docs: DataFrame, key: str, text: str, chunking: Chunking) -> DataFrame:
-    """Chunk table: digest, doc_id, start and stop byte, words."""
+@dataclass(frozen=True)
+class Passages:
+    """A passage goes if it is longer than ``longer_than`` words; anchors are hashes of ``anchor`` words."""
+
+    longer_than: int = 50
+    anchor: int = 16
+
+    @property
+    def window(self) -> int:
+        return self.longer_than + 1
+
+
+def word_gear(code: np.ndarray, n: int) -> np.ndarray:
+    """Gear hash of the ``n`` words from each word on (fewer at the end): sum of code << (64 / n x distance)."""
+    h, span, shift = code, 1, 64 // n
+    while span < n:
+        step = min(span, n - span)
+        later = np.zeros_like(h)
+        later[:-step] = h[step:]
+        # After a step that does not double, both parts overlap: still a hash of the same words.
+        h = h + (later << np.uint64(shift * step))
+        span += step
+    return mixed(h)
+
+
+def smallest_of(values: np.ndarray, n: int) -> np.ndarray:
+    """Smallest of the ``n`` values from each value on, where there are as many."""
+    out, span = values, 1
+    while span < n:
+        step = min(span, n - span)
+        out = np.minimum(out[:-step], out[step:])
+        span += step
+    return out
+
+
+def window_starts(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of all windows of ``size`` words inside one row, and their rows."""
+    row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    at = np.flatnonzero(np.arange(len(row)) + size <= words.first[1:][row])
+    return at, row[at]
+
+
+def anchor_runs(words: Words, passages: Passages):
+    """Runs of neighbouring windows of one anchor: row, anchor, first window in its row and number of windows."""
+    at, row = window_starts(words, passages.window)
+    if not len(at):
+        empty = np.zeros(0, dtype=np.int64)
+        return empty, empty, empty, empty
+    grams = passages.window - passages.anchor + 1
+    anchor = smallest_of(word_gear(words.code, passages.anchor), grams)[at]
+    opens = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))
+    n = np.diff(np.append(opens, len(at)))
+    return row[opens], anchor[opens].astype(np.int64), at[opens] - words.first[row[opens]], n
+
+
+def window_digests(code: np.ndarray, size: int) -> np.ndarray:
+    """Digest of the ``size`` words from each word on, where there are as many."""
+    weights = np.full(len(code) + 1, _STEP, dtype=np.uint64)
+    weights[0] = 1
+    np.multiply.accumulate(weights, out=weights)
+    sums = np.zeros(len(code) + 1, dtype=np.uint64)
+    np.cumsum(code * weights[:-1], out=sums[1:])
+    back = np.full(len(code) + 1, _BACK, dtype=np.uint64)
+    back[0] = 1
+    np.multiply.accumulate(back, out=back)
+    return mixed((sums[size:] - sums[:-size]) * back[:-size]).astype(np.int64)
+
+
+def anchors_of(docs: DataFrame, passages: Passages) -> DataFrame:
+    """Anchor table of ``docs`` (_key, _mark, _text): anchor, doc_id, mark, first window and number of windows."""
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            keys, marks = (part.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            raw, starts, ends = text_bytes(part.column(2))
+            for i, j in slices(starts, ends, _SLICE):
+                words = Words(raw, starts[i:j], ends[i:j], lower=False)
+                row, anchor, at, n = anchor_runs(words, passages)
+                ids, texts = keys[i:j][row], marks[i:j][row]
+                for k in range(0, len(row), 50_000):
+                    s = slice(k, k + 50_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor[s], pa.int64()), pa.array(ids[s], pa.int64()),
+                         pa.array(texts[s], pa.int64()), pa.array(at[s], pa.int32()), pa.array(n[s], pa.int32())],
+                        ["anchor", "doc_id", "mark", "at", "n"])
+
+    return docs.mapInArrow(cut, "anchor long, doc_id long, mark long, at int, n int")
+
+
+def windows_of(docs: DataFrame, passages: Passages) -> DataFrame:
+    """Windows of ``docs`` (_key, _mark, _text, _runs): digest, doc_id, mark, first word, start and stop byte.
+
+    A window runs up to the next word; one at the start or end of a text has the white space there, too.
+    """
+    size = passages.window
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            keys = part.column(0).to_numpy(zero_copy_only=False)
-            raw, starts, ends = text_bytes(part.column(1))
+            keys, marks = (part.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            raw, starts, ends = text_bytes(part.column(2))
+            runs = part.column(3)
             for i, j in slices(starts, ends, _SLICE):
-                own, begin, stop, n_words, digest = chunk_rows(raw, starts[i:j], ends[i:j], chunking)
-                ids = keys[i:j][own]
-                for at in range(0, len(own), 50_000):
-                    s = slice(at, at + 50_000)
+                words = Words(raw, starts[i:j], ends[i:j], lower=False)
+                own = runs.slice(i, j - i)
+                flat = own.flatten()
+                row = np.repeat(np.arange(j - i), own.value_lengths().to_numpy(zero_copy_only=False))
+                at, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "n"))
+                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                row, at = np.repeat(row, n), np.repeat(at, n) + place
+                first = words.first[row] + at
+                digest = window_digests(words.code, size)[first]
+                begin = np.where(at == 0, 0, words.start[first] - starts[i:j][row])
+                last = first + size == words.first[1:][row]
+                after = np.append(words.start, 0)[first + size] - starts[i:j][row]
+                stop = np.where(last, (ends - starts)[i:j][row], after)
+                ids, texts = keys[i:j][row], marks[i:j][row]
+                for k in range(0, len(row), 50_000):
+                    s = slice(k, k + 50_000)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(digest[s], pa.int64()), pa.array(ids[s], pa.int64()),
-                         pa.array(begin[s], pa.int32()), pa.array(stop[s], pa.int32()),
-                         pa.array(n_words[s], pa.int32())],
-                        ["digest", "doc_id", "start", "stop", "words"])
+                         pa.array(texts[s], pa.int64()), pa.array(at[s], pa.int32()),
+                         pa.array(begin[s], pa.int32()), pa.array(stop[s], pa.int32())],
+                        ["digest", "doc_id", "mark", "at", "start", "stop"])
+
+    return docs.mapInArrow(cut, "digest long, doc_id long, mark long, at int, start int, stop int")
+
 
-    return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text")).where(
-        "_key is not null").mapInArrow(cut, "digest long, doc_id long, start int, stop int, words int")
+def in_two_documents(rows: DataFrame, column: str) -> DataFrame:
+    """Values of ``column`` that two documents have, and the smallest key among these."""
+    seen = rows.groupBy(column).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    return seen.where("first <> last").drop("last")
 
 
-def repeated_spans(chunks: DataFrame, run_words: int) -> DataFrame:
-    """(doc_id, spans): runs of chunks that a document with a smaller key has too, as byte ranges."""
-    seen = chunks.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    seen = seen.where("first <> last").drop("last")
-    later = chunks.join(seen, "digest").where("doc_id <> first").select("doc_id", "start", "stop", "words").distinct()
-    order = Window.partitionBy("doc_id").orderBy("start")
-    breaks = F.when(F.col("start") <= F.lag("stop").over(order), 0).otherwise(1)
+def repeated_spans(windows: DataFrame, size: int) -> DataFrame:
+    """(doc_id, mark, spans): unions of windows that a document with a smaller key has too, as byte ranges."""
+    seen = in_two_documents(windows, "digest")
+    later = windows.join(seen, "digest").where("doc_id <> first").drop("digest", "first").distinct()
+    order = Window.partitionBy("doc_id", "mark").orderBy("at")
+    breaks = F.when(F.col("at") <= F.lag("at").over(order) + size, 0).otherwise(1)
     runs = (
         later.withColumn("break", breaks).withColumn("run", F.sum("break").over(order))
-        .groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"),
-                                      F.sum("words").alias("words"))
-        .where(F.col("words") >= run_words)
+        .groupBy("doc_id", "mark", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"),
+                                      (F.max("at") + size - F.min("at")).alias("words"))
     )
-    return runs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"),
-                                      F.sum("words").alias("removed_words"))
+    return runs.groupBy("doc_id", "mark").agg(
+        F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"), F.sum("words").alias("removed_words"))
 
 
 def without_spans(text, spans):
@@ -158,27 +268,36 @@ def without_spans(text, spans):
 
 
 def substring_dedup(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", chunking: Chunking = Chunking()
+    docs: DataFrame, key: str = "doc_id", text: str = "text", passages: Passages = Passages()
 ) -> DataFrame:
     """All rows and columns of ``docs``, with ``text`` freed of repeated passages, and two columns more.
 
-    ``llm_removed_words`` counts removed words, ``llm_spans`` holds the removed
-    byte ranges of the old text (null: none); columns of these names are
-    replaced.  A passage stays where the smallest key has it and inside one
-    document may repeat.  Rows with a null key, null text or no words come back
-    as they are; rows that repeat a key are one document.  If such rows differ
-    in their texts, all of them come back as they are.  An empty table gives no
-    rows.
+    Every common run of more than ``passages.longer_than`` words with one
+    document of a smaller key goes whole, nothing else does.  Words are
+    compared, white space between them is not.  ``llm_removed_words`` counts
+    removed words, ``llm_spans`` holds the removed byte ranges of the old text
+    (null: none); columns of these names are replaced.  A passage stays where
+    the smallest key has it and inside one document may repeat.  Rows with a
+    null key, null text or no words come back as they are; rows that repeat a
+    key are one document.  If such rows differ in their texts, all of them come
+    back as they are.  An empty table gives no rows.
     """
     prepare_workers(docs)
-    own = docs.drop("llm_removed_words", "llm_spans", "llm_doc")
+    own = docs.drop("llm_removed_words", "llm_spans", "llm_doc", "llm_mark")
     digests = own.select(F.col(key).cast("long").alias("_k"), F.xxhash64(text).alias("_h"))
     unclear = digests.groupBy("_k").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).where("lo <> hi").select("_k")
-    chunks = written(chunks_of(own, key, text, chunking), "chunks")
-    spans = repeated_spans(chunks, chunking.run_words).join(unclear, F.col("doc_id") == F.col("_k"), "left_anti")
-    spans = written(spans.select(F.col("doc_id").alias("llm_doc"), F.col("spans").alias("llm_spans"),
+    text_key, mark = F.col(key).cast("long"), F.xxhash64(text)
+    texts = own.select(text_key.alias("_key"), mark.alias("_mark"), F.col(text).alias("_text")).where("_key is not null")
+    anchors = written(anchors_of(texts, passages), "anchors")
+    runs = anchors.join(in_two_documents(anchors, "anchor"), "anchor").groupBy("doc_id", "mark").agg(
+        F.collect_set(F.struct("at", "n")).alias("_runs"))
+    candidates = texts.join(runs, (F.col("_key") == F.col("doc_id")) & (F.col("_mark") == F.col("mark")))
+    windows = written(windows_of(candidates.select("_key", "_mark", "_text", "_runs"), passages), "windows")
+    spans = repeated_spans(windows, passages.window).join(unclear, F.col("doc_id") == F.col("_k"), "left_anti")
+    spans = written(spans.select(F.col("doc_id").alias("llm_doc"), F.col("mark").alias("llm_mark"),
+                                 F.col("spans").alias("llm_spans"),
                                  F.col("removed_words").alias("llm_removed_words")), "spans")
-    joined = own.join(spans, F.col(key).cast("long") == F.col("llm_doc"), "left")
+    joined = own.join(spans, (text_key == F.col("llm_doc")) & (mark == F.col("llm_mark")), "left")
     cleaned = F.when(F.col("llm_spans").isNull(), F.col(text)).otherwise(without_spans(F.col(text), F.col("llm_spans")))
     return joined.withColumn(text, cleaned).withColumn(
-        "llm_removed_words", F.coalesce("llm_removed_words", F.lit(0)).cast("long")).drop("llm_doc")
+        "llm_removed_words", F.coalesce("llm_removed_words", F.lit(0)).cast("long")).drop("llm_doc", "llm_mark")
