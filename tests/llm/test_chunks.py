@@ -159,3 +159,13 @@ def test_query_removes_exactly_the_repeated_windows(spark, folder):
     got = {r.doc_id: (r.text, r.removed_words, r.n_spans) for r in Q.op8_gear_chunks(spark, folder).collect()}
     expected = brute(docs)
     assert {d: got[d] for d in expected} == expected and sum(v[1] for v in expected.values()) > 0
+
+
+def test_shared_text_of_fifty_words_stays(spark):
+    r = random.Random(8)
+    shared = [sentence(r, n) for n in [35] * 20 + [40] * 20 + [50] * 20]
+    docs = [(2 * k + n, f"{sentence(r, 9)} x{n} {p} y{n} {sentence(r, 9)}") for k, p in enumerate(shared) for n in (0, 1)]
+    p, q = sentence(r, 30), sentence(r, 30)
+    docs += [(200, p), (201, q), (202, f"{p} {q}")]
+    got = substring_dedup(documents(spark, [(*d, "en", "a", 1) for d in docs])).collect()
+    assert sorted((x.doc_id, x.text) for x in got) == docs and not any(x.llm_removed_words for x in got)
