@@ -169,3 +169,13 @@ def test_shared_text_of_fifty_words_stays(spark):
     docs += [(200, p), (201, q), (202, f"{p} {q}")]
     got = substring_dedup(documents(spark, [(*d, "en", "a", 1) for d in docs])).collect()
     assert sorted((x.doc_id, x.text) for x in got) == docs and not any(x.llm_removed_words for x in got)
+
+
+def test_every_text_of_a_repeated_key_is_cleaned(spark):
+    r = random.Random(9)
+    a, b, other = (sentence(r, n) for n in (100, 60, 90))
+    docs = [(1, a), (2, a), (2, f"other {other}"), (3, f"x {b}"), (3, f"{b} {sentence(r, 5)} {a} end"), (4, f"{b} last")]
+    got = substring_dedup(documents(spark, [(*d, "en", "a", 1) for d in docs])).collect()
+    assert sorted((x.doc_id, x.text, x.llm_removed_words) for x in got) == sorted([
+        (1, a, 0), (2, "", 100), (2, f"other {other}", 0), (3, f"x {b}", 0),
+        (3, docs[4][1].replace(a + " ", ""), 100), (4, "last", 60)])

@@ -279,13 +279,11 @@ def substring_dedup(
     (null: none); columns of these names are replaced.  A passage stays where
     the smallest key has it and inside one document may repeat.  Rows with a
     null key, null text or no words come back as they are; rows that repeat a
-    key are one document.  If such rows differ in their texts, all of them come
-    back as they are.  An empty table gives no rows.
+    key are one document, each cleaned by its own text where these differ.  An
+    empty table gives no rows.
     """
     prepare_workers(docs)
     own = docs.drop("llm_removed_words", "llm_spans", "llm_doc", "llm_mark")
-    digests = own.select(F.col(key).cast("long").alias("_k"), F.xxhash64(text).alias("_h"))
-    unclear = digests.groupBy("_k").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).where("lo <> hi").select("_k")
     text_key, mark = F.col(key).cast("long"), F.xxhash64(text)
     texts = own.select(text_key.alias("_key"), mark.alias("_mark"), F.col(text).alias("_text")).where("_key is not null")
     anchors = written(anchors_of(texts, passages), "anchors")
@@ -293,10 +291,9 @@ def substring_dedup(
         F.collect_set(F.struct("at", "n")).alias("_runs"))
     candidates = texts.join(runs, (F.col("_key") == F.col("doc_id")) & (F.col("_mark") == F.col("mark")))
     windows = written(windows_of(candidates.select("_key", "_mark", "_text", "_runs"), passages), "windows")
-    spans = repeated_spans(windows, passages.window).join(unclear, F.col("doc_id") == F.col("_k"), "left_anti")
-    spans = written(spans.select(F.col("doc_id").alias("llm_doc"), F.col("mark").alias("llm_mark"),
-                                 F.col("spans").alias("llm_spans"),
-                                 F.col("removed_words").alias("llm_removed_words")), "spans")
+    spans = written(repeated_spans(windows, passages.window).select(
+        F.col("doc_id").alias("llm_doc"), F.col("mark").alias("llm_mark"), F.col("spans").alias("llm_spans"),
+        F.col("removed_words").alias("llm_removed_words")), "spans")
     joined = own.join(spans, (text_key == F.col("llm_doc")) & (mark == F.col("llm_mark")), "left")
     cleaned = F.when(F.col("llm_spans").isNull(), F.col(text)).otherwise(without_spans(F.col(text), F.col("llm_spans")))
     return joined.withColumn(text, cleaned).withColumn(
