@@ -15,7 +15,7 @@ from tribunal.llm.common import table, written
 from tribunal.llm.line_quality import keep_good
 from tribunal.llm.mixing import in_order, mix
 from tribunal.llm.near_dup import Banding, keep_one_of_each
-from tribunal.llm.packing import pack
+from tribunal.llm.packing import pack, row_bytes
 from tribunal.llm.queries import MIXTURE
 
 
@@ -44,8 +44,13 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents in sequences of 1,024 ids; one row per piece, ids as 32-bit integers."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Token pieces of all documents in sequences of 1,024 ids; one row per piece, ids as 32-bit integers.
+
+    Sequences are slices of the mixture's order, which is found again from the
+    rows: neither Parquet nor the columns of documents carry it.
+    """
+    sized = docs.select("doc_id", "text", "source", row_bytes("text").alias("llm_bytes"))
+    return pack(mix(sized, MIXTURE), public_tokenizers.path("byte_bpe_50k.json"), order="llm_position", size="llm_bytes")
 
 
 STAGES = [

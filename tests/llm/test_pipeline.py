@@ -1,4 +1,6 @@
 import inspect
+import random
+from collections import Counter
 
 import corpus_pipeline as P
 import numpy as np
@@ -61,3 +63,29 @@ def test_awkward_documents(spark, folder, k):
     else:
         assert set(ids) == set(every)
     assert stage(spark, empty(spark), folder).count() == 0
+
+
+def test_run_packs_the_target_weights(spark, tmp_path):
+    """Half of the input is of a source that shares one part in 101; sequences follow the weights while all last."""
+    r = random.Random(5)
+    vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randint(3, 9))) for _ in range(5000)]
+    rows, source = [], {}
+    for n in range(6000):
+        source[n] = "hot" if n % 2 else "src0" if n % 8 == 0 else f"src{1 + n // 2 % 19}"
+        text = " ".join(r.choice(vocabulary) for _ in range(r.randint(100, 220))) + " the of and to that have with."
+        rows.append((n, text, "en", source[n], len(text)))
+    documents(spark, rows, clashing=False).write.parquet(str(tmp_path / "documents.parquet"))
+    packed = P.run(spark, str(tmp_path)).select("doc_id", "sequence_id", "length").collect()
+    assert {p.doc_id for p in packed} == set(source)
+    tokens = Counter()
+    for p in packed:
+        tokens[p.sequence_id] += p.length
+    order = sorted(tokens)
+    assert len({s >> 32 for s in order}) > 4
+    for part in (order[:200], order[200:400], order[:400]):
+        chosen, share = set(part), Counter()
+        for p in packed:
+            if p.sequence_id in chosen:
+                share[source[p.doc_id] if source[p.doc_id] in ("hot", "src0") else "named"] += p.length
+        whole = sum(share.values())
+        assert share["hot"] < 0.06 * whole and abs(share["src0"] / whole - 24 / 101) < 0.06
