@@ -80,6 +80,13 @@ def test_packing_query_has_little_padding(spark, folder):
         assert found[r.doc_id, r.start].ids_crc32 == zlib.crc32(r.ids)
 
 
+def test_rows_without_text_spread_over_groups(spark):
+    docs = [(n, None, "en", "a", 0) for n in range(3000)]
+    rows = pack(documents(spark, docs), BYTE, capacity=64, group_bytes=8 << 10).collect()
+    check_pieces(rows, [(d[0], d[1]) for d in docs], 64, 0)
+    assert len({r.sequence_id >> 32 for r in rows}) > 10
+
+
 def test_packing_balances_cost():
     lengths = np.random.default_rng(0).integers(1, 1024, 4000)
     placed, n = pack_group(lengths, 1024, 1.0, 1 / 1024)

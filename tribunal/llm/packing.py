@@ -104,7 +104,7 @@ def pack(
         rows = slices_of(rows, slice_bytes).select("_llm_key", "_llm_text", "_llm_before", "_llm_bytes")
         schema = _PIECES + ", _llm_before long"
     else:
-        n_groups = max(1, -(-total(rows, F.octet_length("_llm_text") + F.lit(4)) // group_bytes))
+        n_groups = max(1, -(-total(rows, row_bytes("_llm_text")) // group_bytes))
         schema = _PIECES
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
