@@ -6,7 +6,7 @@ from compare import database, differences
 from fixtures import DOCS, documents, empty, words
 from hypothesis import given, settings, strategies as st
 
-from tribunal.llm import queries as Q
+from tribunal.llm import mixing, queries as Q
 from tribunal.llm.common import table
 from tribunal.llm.line_quality import keep_good, quality_columns
 from tribunal.llm.mixing import in_order, mix, pfair_slots
@@ -46,6 +46,16 @@ def test_mixture_keeps_every_row_and_its_proportions(spark):
             assert abs(sum(s < t for s, _ in own) - part / 8 * t) < 1
 
 
+def test_no_window_over_all_buckets_of_a_source(spark, monkeypatch):
+    docs = documents(spark, [(i, f"t{i}", "en", "a" if i % 3 else "b", 1) for i in range(900)])
+    few = {r.doc_id: r.llm_position for r in mix(docs, {"a": 3, "b": 2}).collect()}
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 0.02)
+    mixed = mix(docs, {"a": 3, "b": 2})
+    plan = mixed._jdf.queryExecution().analyzed().toString()
+    assert not re.search(r"windowspecdefinition\(llm_source#\d+, llm_bucket#\d+ ASC", plan)
+    assert {r.doc_id: r.llm_position for r in mixed.collect()} == few
+
+
 def test_mixture_of_awkward_documents(spark):
     rows = mix(documents(spark), {"a": 2, "never seen": 5}).collect()
     assert Counter((r.doc_id, r.text) for r in rows) == Counter((d[0], d[1]) for d in DOCS)

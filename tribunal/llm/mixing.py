@@ -15,6 +15,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tribunal.operators.ordering import earlier_sums
+
 #: Expected rows that one task numbers at once.
 ROWS_PER_BUCKET = 2_000
 OTHER = "*"
@@ -71,10 +73,10 @@ def mix(
     keyed = own.withColumn("llm_source", F.coalesce(named, F.lit(OTHER))).withColumn("llm_hash", digest).withColumn(
         "llm_bucket", F.substring("llm_hash", 1, digits))
     inside = Window.partitionBy("llm_source", "llm_bucket").orderBy("llm_hash")
-    before = Window.partitionBy("llm_source").orderBy("llm_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = keyed.groupBy("llm_source", "llm_bucket").agg(F.count(F.lit(1)).alias("llm_rows"))
-    offsets = counts.select("llm_source", "llm_bucket",
-                            F.coalesce(F.sum("llm_rows").over(before), F.lit(0)).alias("llm_before"))
+    offsets = earlier_sums(
+        counts, ["llm_source"], "llm_bucket", F.substring("llm_bucket", 1, max(0, digits - 3)), "llm_rows"
+    ).withColumnRenamed("_offset", "llm_before")
     ranked = (
         keyed.withColumn("llm_rank", F.row_number().over(inside) - 1)
         .join(offsets, ["llm_source", "llm_bucket"])
