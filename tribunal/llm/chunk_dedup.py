@@ -3,8 +3,9 @@
 Candidates first: of the gear hashes of 16 neighbouring words inside a window of
 51 words the smallest one is the window's anchor.  Equal windows have equal
 anchors wherever they stand, so a window whose anchor no other document has is
-not repeated.  Only the other windows are compared whole, by a 64-bit digest of
-their 51 words over the corpus.
+not repeated.  Neighbouring windows of one anchor make a run, compared by a 64-bit
+digest of all its words.  Only where an anchor has unlike runs, as at the ends of
+a passage, the windows of each run's first holder are compared one by one.
 """
 
 from __future__ import annotations
@@ -163,8 +164,8 @@ def anchor_runs(words: Words, passages: Passages):
     return row[opens], anchor[opens].astype(np.int64), at[opens] - words.first[row[opens]], n
 
 
-def window_digests(code: np.ndarray, size: int) -> np.ndarray:
-    """Digest of the ``size`` words from each word on, where there are as many."""
+def run_digests(code: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Digests of ``n`` words from the words ``first`` on."""
     weights = np.full(len(code) + 1, _STEP, dtype=np.uint64)
     weights[0] = 1
     np.multiply.accumulate(weights, out=weights)
@@ -173,11 +174,22 @@ def window_digests(code: np.ndarray, size: int) -> np.ndarray:
     back = np.full(len(code) + 1, _BACK, dtype=np.uint64)
     back[0] = 1
     np.multiply.accumulate(back, out=back)
-    return mixed((sums[size:] - sums[:-size]) * back[:-size]).astype(np.int64)
+    return mixed((sums[first + n] - sums[first]) * back[first] + n.astype(np.uint64)).astype(np.int64)
+
+
+def spans_of(words: Words, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, at: np.ndarray, n: np.ndarray):
+    """Start and stop byte of ``n`` words of a row from its word ``at`` on, up to the next word.
+
+    At the start or end of a text the white space there belongs to them, too.
+    """
+    first = words.first[row] + at
+    begin = np.where(at == 0, 0, words.start[first] - starts[row])
+    last = first + n == words.first[1:][row]
+    return begin, np.where(last, (ends - starts)[row], np.append(words.start, 0)[first + n] - starts[row])
 
 
 def anchors_of(docs: DataFrame, passages: Passages) -> DataFrame:
-    """Anchor table of ``docs`` (_key, _mark, _text): anchor, doc_id, mark, first window and number of windows."""
+    """Runs of ``docs`` (_key, _mark, _text): anchor, digest, doc_id, mark, first window, windows, start and stop byte."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -186,22 +198,23 @@ def anchors_of(docs: DataFrame, passages: Passages) -> DataFrame:
             for i, j in slices(starts, ends, _SLICE):
                 words = Words(raw, starts[i:j], ends[i:j], lower=False)
                 row, anchor, at, n = anchor_runs(words, passages)
+                n_words = n + passages.window - 1
+                digest = run_digests(words.code, words.first[row] + at, n_words)
+                begin, stop = spans_of(words, starts[i:j], ends[i:j], row, at, n_words)
                 ids, texts = keys[i:j][row], marks[i:j][row]
                 for k in range(0, len(row), 50_000):
                     s = slice(k, k + 50_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor[s], pa.int64()), pa.array(ids[s], pa.int64()),
-                         pa.array(texts[s], pa.int64()), pa.array(at[s], pa.int32()), pa.array(n[s], pa.int32())],
-                        ["anchor", "doc_id", "mark", "at", "n"])
+                        [pa.array(c[s], pa.int64()) for c in (anchor, digest, ids, texts)]
+                        + [pa.array(c[s], pa.int32()) for c in (at, n, begin, stop)],
+                        ["anchor", "run", "doc_id", "mark", "at", "n", "start", "stop"])
 
-    return docs.mapInArrow(cut, "anchor long, doc_id long, mark long, at int, n int")
+    return docs.mapInArrow(
+        cut, "anchor long, run long, doc_id long, mark long, at int, n int, start int, stop int")
 
 
 def windows_of(docs: DataFrame, passages: Passages) -> DataFrame:
-    """Windows of ``docs`` (_key, _mark, _text, _runs): digest, doc_id, mark, first word, start and stop byte.
-
-    A window runs up to the next word; one at the start or end of a text has the white space there, too.
-    """
+    """Windows of ``docs`` (_key, _mark, _text, _runs): digest, doc_id, mark, first word, start and stop byte."""
     size = passages.window
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,12 +230,9 @@ def windows_of(docs: DataFrame, passages: Passages) -> DataFrame:
                 at, n = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "n"))
                 place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 row, at = np.repeat(row, n), np.repeat(at, n) + place
-                first = words.first[row] + at
-                digest = window_digests(words.code, size)[first]
-                begin = np.where(at == 0, 0, words.start[first] - starts[i:j][row])
-                last = first + size == words.first[1:][row]
-                after = np.append(words.start, 0)[first + size] - starts[i:j][row]
-                stop = np.where(last, (ends - starts)[i:j][row], after)
+                sizes = np.full(len(row), size)
+                digest = run_digests(words.code, words.first[row] + at, sizes)
+                begin, stop = spans_of(words, starts[i:j], ends[i:j], row, at, sizes)
                 ids, texts = keys[i:j][row], marks[i:j][row]
                 for k in range(0, len(row), 50_000):
                     s = slice(k, k + 50_000)
@@ -235,22 +245,23 @@ def windows_of(docs: DataFrame, passages: Passages) -> DataFrame:
     return docs.mapInArrow(cut, "digest long, doc_id long, mark long, at int, start int, stop int")
 
 
-def in_two_documents(rows: DataFrame, column: str) -> DataFrame:
-    """Values of ``column`` that two documents have, and the smallest key among these."""
-    seen = rows.groupBy(column).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    return seen.where("first <> last").drop("last")
+def repeated_windows(windows: DataFrame) -> DataFrame:
+    """Windows that a document with a smaller key has too, as runs of one window."""
+    seen = windows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    later = windows.join(seen.where("first <> last").drop("last"), "digest").where("doc_id <> first")
+    return later.select("doc_id", "mark", "at", F.lit(1).alias("n"), "start", "stop")
 
 
-def repeated_spans(windows: DataFrame, size: int) -> DataFrame:
-    """(doc_id, mark, spans): unions of windows that a document with a smaller key has too, as byte ranges."""
-    seen = in_two_documents(windows, "digest")
-    later = windows.join(seen, "digest").where("doc_id <> first").drop("digest", "first").distinct()
+def spans_from(repeated: DataFrame, size: int) -> DataFrame:
+    """(doc_id, mark, spans): unions of repeated runs of windows, as byte ranges."""
     order = Window.partitionBy("doc_id", "mark").orderBy("at")
-    breaks = F.when(F.col("at") <= F.lag("at").over(order) + size, 0).otherwise(1)
+    ahead = F.lag(F.col("at") + F.col("n")).over(order) - 1 + size
     runs = (
-        later.withColumn("break", breaks).withColumn("run", F.sum("break").over(order))
-        .groupBy("doc_id", "mark", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"),
-                                      (F.max("at") + size - F.min("at")).alias("words"))
+        repeated.distinct().withColumn("break", F.when(F.col("at") <= ahead, 0).otherwise(1))
+        .withColumn("group", F.sum("break").over(order))
+        .groupBy("doc_id", "mark", "group")
+        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"),
+             (F.max(F.col("at") + F.col("n")) - 1 + size - F.min("at")).alias("words"))
     )
     return runs.groupBy("doc_id", "mark").agg(
         F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"), F.sum("words").alias("removed_words"))
@@ -287,11 +298,18 @@ def substring_dedup(
     text_key, mark = F.col(key).cast("long"), F.xxhash64(text)
     texts = own.select(text_key.alias("_key"), mark.alias("_mark"), F.col(text).alias("_text")).where("_key is not null")
     anchors = written(anchors_of(texts, passages), "anchors")
-    runs = anchors.join(in_two_documents(anchors, "anchor"), "anchor").groupBy("doc_id", "mark").agg(
+    shared = anchors.groupBy("anchor").agg(
+        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("run") != F.max("run")).alias("unlike"))
+    runs = written(anchors.join(shared.where("lo <> hi").drop("lo", "hi"), "anchor").drop("anchor"), "runs")
+    held = written(runs.join(runs.groupBy("run").agg(F.min("doc_id").alias("first")), "run").drop("run"), "held")
+    # A run's later holders lose it whole; its first holder may share windows with unlike runs.
+    whole = held.where("doc_id <> first").select("doc_id", "mark", "at", "n", "start", "stop")
+    unlike = held.where("doc_id = first and unlike").groupBy("doc_id", "mark").agg(
         F.collect_set(F.struct("at", "n")).alias("_runs"))
-    candidates = texts.join(runs, (F.col("_key") == F.col("doc_id")) & (F.col("_mark") == F.col("mark")))
+    candidates = texts.join(unlike, (F.col("_key") == F.col("doc_id")) & (F.col("_mark") == F.col("mark")))
     windows = written(windows_of(candidates.select("_key", "_mark", "_text", "_runs"), passages), "windows")
-    spans = written(repeated_spans(windows, passages.window).select(
+    repeated = whole.unionByName(repeated_windows(windows))
+    spans = written(spans_from(repeated, passages.window).select(
         F.col("doc_id").alias("llm_doc"), F.col("mark").alias("llm_mark"), F.col("spans").alias("llm_spans"),
         F.col("removed_words").alias("llm_removed_words")), "spans")
     joined = own.join(spans, (text_key == F.col("llm_doc")) & (mark == F.col("llm_mark")), "left")
