@@ -84,8 +84,21 @@ select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
 from base
 """
 
+LINES = f"""
+with d as (select row_number() over () r, doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
+l as (select r, unnest(ls) line, generate_subscripts(ls, 1) pos from d),
+k as (
+  select *, translate(trim(line, {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') key from l),
+common as (select key from k where key <> '' group by key having count(distinct r) >= 10),
+judged as (select k.*, common.key is not null as gone from k left join common using (key))
+select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) kept_sha256
+from judged join d using (r) group by r, doc_id
+"""
+
 ORACLE: dict[str, str] = {
     "op4_chunked_warc": WARC,
     "op9_pfair_mixture": _mixture(),
     "op10_line_quality": QUALITY,
+    "op11_line_runs": LINES,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tribunal.llm.chunk_dedup import substring_dedup
 from tribunal.llm.common import table
 from tribunal.llm.line_quality import quality_columns
+from tribunal.llm.line_runs import dedup_lines
 from tribunal.llm.mixing import mix
 from tribunal.llm.near_dup import near_duplicates
 from tribunal.llm.packing import pack
@@ -93,6 +94,14 @@ def op10_line_quality(spark, folder):
         "lost_chars", "kept")
 
 
+def op11_line_runs(spark, folder):
+    """All documents without the lines that ten or more documents have."""
+    cleaned = dedup_lines(table(spark, folder, "documents"))
+    return cleaned.select(
+        "doc_id", F.col("llm_lines").alias("n_lines"), F.col("llm_dropped").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
     "op2_external_shuffle": op2_external_shuffle,
@@ -104,4 +113,5 @@ QUERIES: dict[str, Query] = {
     "op8_gear_chunks": op8_gear_chunks,
     "op9_pfair_mixture": op9_pfair_mixture,
     "op10_line_quality": op10_line_quality,
+    "op11_line_runs": op11_line_runs,
 }
