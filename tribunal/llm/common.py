@@ -87,13 +87,15 @@ class Words:
 
     ``start`` and ``end`` are byte positions of each word, ``first`` the index
     of each row's first word (one entry more than rows), ``code`` a 64-bit
-    hash of each word, of its A-Z lower-cased form if ``lower``.
+    hash of each word, of its A-Z lower-cased form if ``lower``.  ``breaks``
+    marks the bytes between words, if not these blanks.
     """
 
-    def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool):
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool,
+                 breaks: np.ndarray = _SPACES):
         base = int(starts[0]) if len(starts) else 0
         part = raw[base:int(ends[-1])] if len(starts) else raw[:0]
-        inner = ~_SPACES[part]
+        inner = ~breaks[part]
         # A word also ends where its row ends.
         row_start = np.zeros(len(part) + 1, dtype=bool)
         row_start[starts - base] = True

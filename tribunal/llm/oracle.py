@@ -96,9 +96,33 @@ select doc_id, count(*) n_lines, count(*) filter (gone) n_dropped,
 from judged join d using (r) group by r, doc_id
 """
 
+_TERMS = (
+    "unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) term"
+)
+LEXICAL = f"""
+with t as (select r, doc_id, {_TERMS} from (select row_number() over () r, * from documents)),
+postings as (select r, doc_id, term, count(*) tf from t group by all),
+lengths as (select r, sum(tf)::bigint n from postings group by r),
+corpus as (select count(*) big_n, sum(n)::bigint big_l from lengths),
+asked as (select distinct i, item_id, term
+          from (select i, item_id, {_TERMS} from (select row_number() over () i, * from benchmark))),
+weights as (select term, floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1)))::bigint w
+            from postings, corpus group by term, big_n),
+scored as (
+  select i, item_id, r, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::bigint score
+  from asked join postings using (term) join weights using (term) join lengths using (r), corpus group by all),
+ranked as (
+  select item_id, row_number() over (partition by i order by score desc, doc_id)::int as "rank", doc_id, score
+  from scored where score > 0)
+select * from ranked where "rank" <= 50
+"""
+
 ORACLE: dict[str, str] = {
     "op4_chunked_warc": WARC,
     "op9_pfair_mixture": _mixture(),
     "op10_line_quality": QUALITY,
     "op11_line_runs": LINES,
+    "op13_max_sketches": LEXICAL,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tribunal.llm.chunk_dedup import substring_dedup
 from tribunal.llm.common import table
+from tribunal.llm.lexical import lexical_search
 from tribunal.llm.line_quality import quality_columns
 from tribunal.llm.line_runs import dedup_lines
 from tribunal.llm.mixing import mix
@@ -102,6 +103,11 @@ def op11_line_runs(spark, folder):
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_max_sketches(spark, folder):
+    """The 50 best documents of every benchmark item."""
+    return lexical_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_cost_balanced_packing": op1_cost_balanced_packing,
     "op2_external_shuffle": op2_external_shuffle,
@@ -114,4 +120,5 @@ QUERIES: dict[str, Query] = {
     "op9_pfair_mixture": op9_pfair_mixture,
     "op10_line_quality": op10_line_quality,
     "op11_line_runs": op11_line_runs,
+    "op13_max_sketches": op13_max_sketches,
 }
