@@ -119,10 +119,83 @@ ranked as (
 select * from ranked where "rank" <= 50
 """
 
+
+def _repair() -> str:
+    """Turn by turn, the cheapest edits that end in each of four states, with the text so far."""
+    far = "{'c': 1000000000, 'a': '', 't': null::varchar}"
+
+    def way(state: str, cost: str, edit: str, said: str | None = None) -> str:
+        text = f"{state}.t" if said is None else f"coalesce({state}.t || chr(10), '') || {said}"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {text}}}"
+
+    def turn(state: str, role: str) -> str:
+        return (f"case when forced then {far} when initial = '{role[0]}' then {way(state, 'late', 'K', 'said')} "
+                f"else {way(state, '2 + late', 'R', f"'{role}:' || text")} end")
+
+    def least(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    gone = [way(f"s{n}", "3", "D") for n in range(4)]
+    system = f"case when forced or initial <> 's' then {far} else {way('s0', 'late', 'K', 'said')} end"
+    user = [way(s, "2", "I", "'user:'") for s in ("d0", "d1", "d3")]
+    answer = way("i2", "2", "I", "'assistant:'")
+    plain = f"rtrim(text, {_BLANKS})"
+    bits = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = "list_transform(string_split(key, ''), lambda x: ord(x)::bigint)"
+    return f"""
+with recursive keyed as (
+  select conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text,
+         coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') key from conversations),
+hashed as (
+  select *, xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: {bits}), 4294967295) % 20 kind from keyed),
+damaged as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+         case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+  from hashed, range(2) copies(copy) where kind <> 0 and (copy = 0 or kind = 3)),
+placed as (
+  select *, left(role, 1) initial, role || ':' || text said, {plain} plain,
+         row_number() over (partition by conv_id order by turn nulls first, role, text) pos,
+         row_number() over (partition by conv_id, role, text order by turn nulls first) nth,
+         lag(left(role, 1)) over (partition by conv_id order by turn nulls first, role, text) ahead
+  from damaged),
+marked as (
+  select *, plain = '' or nth > 1 forced,
+         (plain <> '' and nth = 1 and right(plain, 1) not in ('.', '!', '?'))::bigint late
+  from placed),
+faults as (
+  select conv_id, count(*) n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps,
+         count(*) filter (plain = '') blank, count(*) filter (plain <> '' and nth > 1) duplicate,
+         sum(late)::bigint truncated, count(*) filter (ahead || initial not in ('su', 'ua', 'au')) illegal
+  from marked group by conv_id),
+walk as (
+  select conv_id, 0::bigint pos, {{'c': 0::bigint, 'a': '', 't': null::varchar}} s0,
+         {{'c': 1000000000::bigint, 'a': '', 't': null::varchar}} s1, {{'c': 2::bigint, 'a': 'I', 't': 'user:'}} s2,
+         {{'c': 4::bigint, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}} s3
+  from (select distinct conv_id from conversations)
+  union all
+  select conv_id, pos, d0, d1, i2, {least('d3', answer)}
+  from (
+    select conv_id, pos, d0, d1, d3, {least('d2', *user)} i2
+    from (
+      select m.conv_id, m.pos, {gone[0]} d0, {least(gone[1], system)} d1,
+             {least(gone[2], *[turn(s, 'user') for s in ('s0', 's1', 's3')])} d2,
+             {least(gone[3], turn('s2', 'assistant'))} d3
+      from walk w join marked m on w.conv_id is not distinct from m.conv_id and m.pos = w.pos + 1))),
+ends as (
+  select w.conv_id, f.* exclude (conv_id), {least('s0', 's3')} best
+  from walk w left join faults f on w.conv_id is not distinct from f.conv_id where w.pos = coalesce(f.n, 0))
+select conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate,
+       coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, best.c as cost, best.a as audit,
+       sha256(coalesce(best.t, '')) repaired_sha256
+from ends
+"""
+
+
 ORACLE: dict[str, str] = {
     "op4_chunked_warc": WARC,
     "op9_pfair_mixture": _mixture(),
     "op10_line_quality": QUALITY,
     "op11_line_runs": LINES,
+    "op12_interval_repair": _repair(),
     "op13_max_sketches": LEXICAL,
 }

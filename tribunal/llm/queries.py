@@ -17,6 +17,7 @@ from tribunal.llm.near_dup import near_duplicates
 from tribunal.llm.packing import pack
 from tribunal.llm.pivots import vector_duplicates
 from tribunal.llm.records import read_records, with_starts, write_records
+from tribunal.llm.repair import audited
 from tribunal.llm.sharding import write_shuffled
 from tribunal.llm.url_filter import Rule, judge_urls
 from tribunal.llm.warc import chunk_table, read_archives, records, write_archives
@@ -103,6 +104,11 @@ def op11_line_runs(spark, folder):
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_interval_repair(spark, folder):
+    """Faults planted in all conversations, and the cheapest edits that repair them."""
+    return audited(table(spark, folder, "conversations"))
+
+
 def op13_max_sketches(spark, folder):
     """The 50 best documents of every benchmark item."""
     return lexical_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -120,5 +126,6 @@ QUERIES: dict[str, Query] = {
     "op9_pfair_mixture": op9_pfair_mixture,
     "op10_line_quality": op10_line_quality,
     "op11_line_runs": op11_line_runs,
+    "op12_interval_repair": op12_interval_repair,
     "op13_max_sketches": op13_max_sketches,
 }
