@@ -1,11 +1,14 @@
 """Substring deduplication: passages of over 50 words that an earlier document has go, exactly.
 
-Candidates first: of the gear hashes of 16 neighbouring words inside a window of
-51 words the smallest one is the window's anchor.  Equal windows have equal
-anchors wherever they stand, so a window whose anchor no other document has is
-not repeated.  Neighbouring windows of one anchor make a run, compared by a 64-bit
-digest of all its words.  Only where an anchor has unlike runs, as at the ends of
-a passage, the windows of each run's first holder are compared one by one.
+Texts are cut into chunks by their content: a gear hash rolls over the words, and
+a chunk starts at each word whose hash is the smallest of some stretch of
+neighbouring ones.  The rule looks at no more than the words around, so chunks
+resist insertions, and a passage of over 50 words always holds a whole chunk,
+cut alike wherever the passage stands.  Chunks are deduplicated by digest; around
+chunks that two documents have, the windows of 51 words that meet the same
+chunk first make a run, compared by a digest of all its words.  Only where a
+chunk has unlike runs, as at the ends of a passage, the windows of each run's
+first holder are compared one by one.
 """
 
 from __future__ import annotations
@@ -17,104 +20,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tribunal.llm.common import Words, mixed, prepare_workers, slices, text_bytes, written
+from tribunal.llm.common import Words, join_counted, mixed, prepare_workers, slices, text_bytes, written
 
-_GEAR = np.random.default_rng(11).integers(0, 2**32, 256, dtype=np.uint32)
-_WINDOW = 16
 _SLICE = 4 << 20
 _STEP = np.uint64(0xD1342543DE82EF95)
 _BACK = np.uint64(pow(int(_STEP), -1, 2**64))
 
 
 @dataclass(frozen=True)
-class Chunking:
-    """Cuts follow a word in one of ``one_in`` cases, after ``least`` and at most ``most`` words.
-
-    ``run_words`` is how many words of neighbouring repeated chunks make a
-    repeated passage; the chunks that stick out of a passage at its two ends
-    are not repeated, so a passage has some ten words more than its run.
-    """
-
-    one_in: int = 5
-    least: int = 3
-    most: int = 64
-    run_words: int = 25
-
-
-def gear(raw: np.ndarray) -> np.ndarray:
-    """Rolling hash of the 16 bytes up to each byte: h = sum of gear[byte] << distance."""
-    h = _GEAR[raw]
-    span = 1
-    while span < _WINDOW:
-        older = np.zeros_like(h)
-        older[span:] = h[:-span] if len(h) > span else 0
-        h = h + (older << np.uint32(span))
-        span *= 2
-    return h
-
-
-def chunk_rows(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunking: Chunking):
-    """Chunks of some texts: row, first byte, byte after it, words and digest of each.
+class Passages:
+    """A passage goes if it is longer than ``longer_than`` words.
 
-    A chunk runs up to the next chunk's first word; the first one starts with
-    the text and the last one ends with it.  A text without words has none.
+    Chunks start at the smallest gear hash, over ``gear`` words, of some
+    ``stretch`` neighbouring ones, so they have at most ``stretch`` words.  A
+    chunk's digest covers ``reach`` words from its start, and its length, so that
+    short chunks of everyday words are not alike by chance.
     """
-    words = Words(raw, starts, ends, lower=False)
-    if not len(words.code):
-        empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, empty, empty, empty
-    base = int(starts[0])
-    hashes = gear(raw[base:int(ends[-1])])
-    row = np.repeat(np.arange(len(starts)), np.diff(words.first))
-    wanted = hashes[words.end - 1 - base] < np.uint32((1 << 32) // chunking.one_in)
-    wanted &= words.end - starts[row] >= _WINDOW
-    last_word = words.first[1:] - 1
-    opens: list[int] = []                               # first words of chunks
-    candidates = np.flatnonzero(wanted)
-    bounds = np.searchsorted(candidates, words.first)
-    for r in range(len(starts)):
-        at, stop = int(words.first[r]), int(words.first[r + 1])
-        if at == stop:
-            continue
-        opens.append(at)
-        for c in candidates[bounds[r]:bounds[r + 1]].tolist():
-            while c - at >= chunking.most:
-                at += chunking.most
-                opens.append(at)
-            if c + 1 - at >= chunking.least and c + 1 < stop:
-                at = c + 1
-                opens.append(at)
-        while stop - at > chunking.most:
-            at += chunking.most
-            opens.append(at)
-    first = np.array(opens)
-    own = row[first]
-    after = np.append(first[1:], len(words.code))
-    same = np.append(own[1:] == own[:-1], False)
-    begin = words.start[first] - starts[own]
-    head = np.append(True, own[1:] != own[:-1])
-    begin[head] = 0
-    stop = np.where(same, np.append(words.start[first[1:]], 0) - starts[own], ends[own] - starts[own])
-    after = np.where(same, after, last_word[own] + 1)
-    weights = np.full(len(words.code) + 1, _STEP, dtype=np.uint64)
-    weights[0] = 1
-    np.multiply.accumulate(weights, out=weights)
-    sums = np.zeros(len(words.code) + 1, dtype=np.uint64)
-    np.cumsum(words.code * weights[:-1], out=sums[1:])
-    back = np.full(len(words.code) + 1, _BACK, dtype=np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
-    n_words = after - first
-    digest = mixed((sums[after] - sums[first]) * back[first] + n_words.astype(np.uint64)).astype(np.int64)
-    return own, begin, stop, n_words, digest
-
-
-@dataclass(frozen=True)
-class Passages:
-    """A passage goes if it is longer than ``longer_than`` words; anchors are hashes of ``anchor`` words."""
 
     longer_than: int = 50
-    anchor: int = 16
+    gear: int = 4
+    stretch: int = 12
+    reach: int = 24
+
+    def __post_init__(self):
+        hashes = self.window - self.gear + 1
+        if hashes < 4 * self.stretch - 2 or not self.stretch <= self.reach <= self.window - 2 * self.stretch + 2:
+            raise ValueError("A passage would not always hold a whole chunk.")
 
     @property
     def window(self) -> int:
@@ -144,24 +75,43 @@ def smallest_of(values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def window_starts(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words of all windows of ``size`` words inside one row, and their rows."""
-    row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
-    at = np.flatnonzero(np.arange(len(row)) + size <= words.first[1:][row])
-    return at, row[at]
+def chunk_starts(words: Words, passages: Passages) -> np.ndarray:
+    """Words at which a chunk starts, of all rows."""
+    size, n = passages.stretch, len(words.code)
+    if n < size:
+        return np.zeros(0, dtype=np.int64)
+    hashes = word_gear(words.code, passages.gear)
+    row_end = np.repeat(words.first[1:], np.diff(words.first))
+    least = np.zeros(n, dtype=np.uint64)
+    least[:n - size + 1] = smallest_of(hashes, size)
+    # A stretch counts only if all its hashes lie inside one row.
+    least[np.arange(n) + size + passages.gear - 2 >= row_end] = 0
+    highest = ~smallest_of(~np.append(np.zeros(size - 1, dtype=np.uint64), least), size)
+    return np.flatnonzero((hashes == highest) & (hashes > 0))
+
 
+def chunk_runs(words: Words, passages: Passages):
+    """Runs of the windows that meet one chunk first: row, digest of the chunk, first window in its row, number of windows.
 
-def anchor_runs(words: Words, passages: Passages):
-    """Runs of neighbouring windows of one anchor: row, anchor, first window in its row and number of windows."""
-    at, row = window_starts(words, passages.window)
-    if not len(at):
-        empty = np.zeros(0, dtype=np.int64)
+    A window meets a chunk first if none starts between its own first
+    ``stretch`` - 1 words and the chunk; before these, starts may depend on words
+    outside the window.
+    """
+    size, margin = passages.window, passages.stretch - 1
+    cuts = chunk_starts(words, passages)
+    empty = np.zeros(0, dtype=np.int64)
+    if len(cuts) < 2:
         return empty, empty, empty, empty
-    grams = passages.window - passages.anchor + 1
-    anchor = smallest_of(word_gear(words.code, passages.anchor), grams)[at]
-    opens = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))
-    n = np.diff(np.append(opens, len(at)))
-    return row[opens], anchor[opens].astype(np.int64), at[opens] - words.first[row[opens]], n
+    row = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))[cuts]
+    begin, end = words.first[row], words.first[row + 1]
+    same = row[1:] == row[:-1]
+    low = np.maximum(begin, np.append(0, np.where(same, cuts[:-1] - margin + 1, 0)))
+    high = np.minimum(cuts - margin, end - size)
+    length = np.append(np.where(same, np.diff(cuts), 0), 0)
+    some = np.flatnonzero((low <= high) & (length > 0))
+    reach = run_digests(words.code, cuts[some], np.full(len(some), passages.reach))
+    chunk = mixed(reach.astype(np.uint64) + length[some].astype(np.uint64)).astype(np.int64)
+    return row[some], chunk, (low - begin)[some], (high - low + 1)[some]
 
 
 def run_digests(code: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -188,8 +138,24 @@ def spans_of(words: Words, starts: np.ndarray, ends: np.ndarray, row: np.ndarray
     return begin, np.where(last, (ends - starts)[row], np.append(words.start, 0)[first + n] - starts[row])
 
 
-def anchors_of(docs: DataFrame, passages: Passages) -> DataFrame:
-    """Runs of ``docs`` (_key, _mark, _text): anchor, digest, doc_id, mark, first window, windows, start and stop byte."""
+def chunks_of(docs: DataFrame, passages: Passages) -> DataFrame:
+    """Chunks of ``docs`` (_key, _mark, _text): digest and doc_id."""
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            keys = part.column(0).to_numpy(zero_copy_only=False)
+            raw, starts, ends = text_bytes(part.column(2))
+            for i, j in slices(starts, ends, _SLICE):
+                row, chunk, *_ = chunk_runs(Words(raw, starts[i:j], ends[i:j], lower=False), passages)
+                for k in range(0, len(row), 50_000):
+                    s = slice(k, k + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(chunk[s]), pa.array(keys[i:j][row[s]], pa.int64())], ["chunk", "doc_id"])
+
+    return docs.mapInArrow(cut, "chunk long, doc_id long")
+
+
+def runs_of(docs: DataFrame, passages: Passages) -> DataFrame:
+    """Runs of ``docs`` (_key, _mark, _text): chunk, digest, doc_id, mark, first window, windows, start and stop byte."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -197,7 +163,7 @@ def anchors_of(docs: DataFrame, passages: Passages) -> DataFrame:
             raw, starts, ends = text_bytes(part.column(2))
             for i, j in slices(starts, ends, _SLICE):
                 words = Words(raw, starts[i:j], ends[i:j], lower=False)
-                row, anchor, at, n = anchor_runs(words, passages)
+                row, chunk, at, n = chunk_runs(words, passages)
                 n_words = n + passages.window - 1
                 digest = run_digests(words.code, words.first[row] + at, n_words)
                 begin, stop = spans_of(words, starts[i:j], ends[i:j], row, at, n_words)
@@ -205,12 +171,12 @@ def anchors_of(docs: DataFrame, passages: Passages) -> DataFrame:
                 for k in range(0, len(row), 50_000):
                     s = slice(k, k + 50_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c[s], pa.int64()) for c in (anchor, digest, ids, texts)]
+                        [pa.array(c[s], pa.int64()) for c in (chunk, digest, ids, texts)]
                         + [pa.array(c[s], pa.int32()) for c in (at, n, begin, stop)],
-                        ["anchor", "run", "doc_id", "mark", "at", "n", "start", "stop"])
+                        ["chunk", "run", "doc_id", "mark", "at", "n", "start", "stop"])
 
     return docs.mapInArrow(
-        cut, "anchor long, run long, doc_id long, mark long, at int, n int, start int, stop int")
+        cut, "chunk long, run long, doc_id long, mark long, at int, n int, start int, stop int")
 
 
 def windows_of(docs: DataFrame, passages: Passages) -> DataFrame:
@@ -245,10 +211,16 @@ def windows_of(docs: DataFrame, passages: Passages) -> DataFrame:
     return docs.mapInArrow(cut, "digest long, doc_id long, mark long, at int, start int, stop int")
 
 
+def holders(rows: DataFrame, digest: str) -> DataFrame:
+    """(digest, first, last, rows): the documents between which each digest is found, if there are two at least."""
+    return rows.groupBy(digest).agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("rows")).where("first <> last")
+
+
 def repeated_windows(windows: DataFrame) -> DataFrame:
     """Windows that a document with a smaller key has too, as runs of one window."""
-    seen = windows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    later = windows.join(seen.where("first <> last").drop("last"), "digest").where("doc_id <> first")
+    seen = written(holders(windows, "digest"), "seen")
+    later = join_counted(windows, seen, "digest", ["first"], ["doc_id", "at"]).where("doc_id <> first")
     return later.select("doc_id", "mark", "at", F.lit(1).alias("n"), "start", "stop")
 
 
@@ -297,14 +269,14 @@ def substring_dedup(
     own = docs.drop("llm_removed_words", "llm_spans", "llm_doc", "llm_mark")
     text_key, mark = F.col(key).cast("long"), F.xxhash64(text)
     texts = own.select(text_key.alias("_key"), mark.alias("_mark"), F.col(text).alias("_text")).where("_key is not null")
-    anchors = written(anchors_of(texts, passages), "anchors")
-    shared = anchors.groupBy("anchor").agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("run") != F.max("run")).alias("unlike"))
-    runs = written(anchors.join(shared.where("lo <> hi").drop("lo", "hi"), "anchor").drop("anchor"), "runs")
-    held = written(runs.join(runs.groupBy("run").agg(F.min("doc_id").alias("first")), "run").drop("run"), "held")
-    # A run's later holders lose it whole; its first holder may share windows with unlike runs.
+    shared = written(holders(chunks_of(texts, passages), "chunk"), "chunks")
+    runs = written(join_counted(runs_of(texts, passages), shared, "chunk", [], ["doc_id", "mark", "at"]), "runs")
+    seen = written(runs.groupBy("chunk", "run").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "seen")
+    held = written(join_counted(runs, seen.drop("chunk"), "run", ["first"], ["doc_id", "at"]), "held")
+    # A run's later holders lose it whole; its first holder may share windows with the chunk's unlike runs.
     whole = held.where("doc_id <> first").select("doc_id", "mark", "at", "n", "start", "stop")
-    unlike = held.where("doc_id = first and unlike").groupBy("doc_id", "mark").agg(
+    mixed_chunks = written(seen.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "mixed")
+    unlike = join_counted(held.where("doc_id = first"), mixed_chunks, "chunk", [], ["doc_id", "at"]).groupBy("doc_id", "mark").agg(
         F.collect_set(F.struct("at", "n")).alias("_runs"))
     candidates = texts.join(unlike, (F.col("_key") == F.col("doc_id")) & (F.col("_mark") == F.col("mark")))
     windows = written(windows_of(candidates.select("_key", "_mark", "_text", "_runs"), passages), "windows")

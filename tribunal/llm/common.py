@@ -36,6 +36,32 @@ def total(df: DataFrame, column) -> int:
     return int(df.agg(F.sum(column)).first()[0] or 0)
 
 
+def join_counted(
+    rows: DataFrame, keyed: DataFrame, key: str, values: list[str], spread: list[str], most_hot: int = 10_000,
+) -> DataFrame:
+    """Rows whose ``key`` is in ``keyed``, which has it once, with its ``values``; ``rows`` is read once.
+
+    ``keyed`` is a written table that counts in ``rows`` how many rows have the
+    key.  Keys with at least one in ``most_hot`` of all of them (so at most that
+    many keys) are broadcast; their rows pass the shuffle spread by a hash of
+    the columns ``spread``, so no key fills a task.
+    """
+    least = -(-total(keyed, "rows") // most_hot)
+    hot = keyed.where(F.col("rows") >= least).select(
+        F.col(key).alias("_hot_key"), *[F.col(v).alias(f"_hot_{v}") for v in values], F.lit(True).alias("_hot"))
+    rest = keyed.where(F.col("rows") < least).select(
+        F.lit(False).alias("_of"), F.col(key).alias("_key_of"), *[F.col(v).alias(f"_of_{v}") for v in values],
+        F.lit(True).alias("_met"))
+    flagged = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    dealt = flagged.withColumns({
+        "_tier": F.coalesce("_hot", F.lit(False)),
+        "_place": F.when(F.col("_hot"), F.xxhash64(*spread)).otherwise(F.col(key)),
+    })
+    met = dealt.join(rest, (F.col("_tier") == F.col("_of")) & (F.col("_place") == F.col("_key_of")), "left")
+    return met.where(F.col("_tier") | F.col("_met")).select(
+        *rows.columns, *[F.coalesce(f"_hot_{v}", f"_of_{v}").alias(v) for v in values])
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column with the start and end of each row; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -82,6 +108,15 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
+def range_codes(part: np.ndarray, opens: np.ndarray, closes: np.ndarray, byte: np.ndarray = _BYTE) -> np.ndarray:
+    """64-bit hash of each byte range of ``part``, the same wherever the range stands."""
+    weighted = byte[part] * _powers(_STEP, len(part))
+    sums = np.zeros(len(part) + 1, dtype=np.uint64)
+    np.cumsum(weighted, out=sums[1:])
+    back = _powers(_BACK, len(part) + 1)
+    return mixed((sums[closes] - sums[opens]) * back[opens] + (closes - opens).astype(np.uint64))
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the rows of a text column, as arrays.
 
@@ -111,12 +146,7 @@ class Words:
         closes = np.flatnonzero(inner & (~after | row_start[1:])) + 1
         self.start, self.end = opens + base, closes + base
         self.first = np.searchsorted(opens, np.append(starts, ends[-1:] if len(ends) else []) - base)
-        weighted = (_LOWER_BYTE if lower else _BYTE)[part] * _powers(_STEP, len(part))
-        sums = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(weighted, out=sums[1:])
-        size = np.uint64(len(part) + 1)
-        back = _powers(_BACK, int(size))
-        self.code = mixed((sums[closes] - sums[opens]) * back[opens] + (closes - opens).astype(np.uint64))
+        self.code = range_codes(part, opens, closes, _LOWER_BYTE if lower else _BYTE)
 
 
 def shingle_codes(code: np.ndarray, n: int) -> np.ndarray:
@@ -127,6 +157,14 @@ def shingle_codes(code: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Neighbouring stretches of ``data`` as binary values; ``sizes`` counts the items of each."""
+    offsets = np.zeros(len(sizes) + 1, dtype=np.int64)
+    np.cumsum(sizes * data.itemsize, out=offsets[1:])
+    flat = pa.py_buffer(np.ascontiguousarray(data))
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), flat]).cast(pa.binary())
+
+
 def batches(schema: pa.Schema, columns: dict[str, np.ndarray | list]) -> Iterator[pa.RecordBatch]:
     """Hand columns back in batches of bounded row count."""
     arrays = [pa.array(columns[f.name], type=f.type) for f in schema]

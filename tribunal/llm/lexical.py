@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tribunal.llm.common import Words, prepare_workers, slices, text_bytes, written
+from tribunal.llm.common import Words, binaries, prepare_workers, slices, text_bytes, written
 from tribunal.session import new_path
 
 _INDEX = "row long, doc_id long, n long, sketch binary, codes binary, counts binary"
@@ -87,14 +87,6 @@ def sketches(own: np.ndarray, code: np.ndarray, count: np.ndarray, rows: int, ho
     return cells, width
 
 
-def _binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """Neighbouring stretches of ``data`` as binary values; ``sizes`` counts its items."""
-    offsets = np.zeros(len(sizes) + 1, dtype=np.int64)
-    np.cumsum(sizes * data.itemsize, out=offsets[1:])
-    return pa.Array.from_buffers(
-        pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-
-
 def _flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Items of a binary column in one array, and the number of each row."""
     column = column.cast(pa.large_binary())
@@ -127,8 +119,8 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", how: S
                 distinct = np.bincount(own, minlength=j - i)
                 batch = pa.RecordBatch.from_arrays([
                     part.column(0).slice(i, j - i), part.column(1).slice(i, j - i), pa.array(size, pa.int64()),
-                    _binaries(cells, width).cast(pa.binary()), _binaries(code, distinct).cast(pa.binary()),
-                    _binaries(count.astype("<u4"), distinct).cast(pa.binary())], titles)
+                    binaries(cells, width), binaries(code, distinct),
+                    binaries(count.astype("<u4"), distinct)], titles)
                 yield batch.filter(pa.array(size > 0))
 
     return written(rows.mapInArrow(scan, _INDEX), "sketches")

@@ -84,6 +84,32 @@ select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
 from base
 """
 
+PASSAGES = f"""
+with d as (
+  select doc_id, text,
+         regexp_extract_all(text, '(?:^[\\x20\\x09-\\x0D]*)?[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*') pieces
+  from documents),
+words as (select *, list_transform(pieces, lambda x: trim(x, {_BLANKS})) ws from d),
+placed as (
+  select doc_id, unnest(pieces) piece, generate_subscripts(pieces, 1) pos, ws from words),
+windows as (
+  select doc_id, pos, piece, case when pos + 50 <= len(ws) then array_to_string(ws[pos:pos + 50], ' ') end passage from placed),
+firsts as (select passage, min(doc_id) holder from windows where passage is not null group by passage),
+judged as (
+  select doc_id, pos, piece,
+         coalesce(max((holder <> doc_id)::int) over (
+           partition by doc_id order by pos rows between 50 preceding and current row), 0) = 1 gone
+  from windows left join firsts using (passage)),
+opened as (
+  select *, gone and not coalesce(lag(gone) over (partition by doc_id order by pos), false) opens from judged),
+cleaned as (
+  select doc_id, coalesce(string_agg(piece, '' order by pos) filter (not gone), '') kept,
+         count(*) filter (gone) removed_words, count(*) filter (opens)::int n_spans
+  from opened group by doc_id)
+select doc_id, coalesce(kept, text) "text", coalesce(removed_words, 0) removed_words, coalesce(n_spans, 0) n_spans
+from documents left join cleaned using (doc_id)
+"""
+
 LINES = f"""
 with d as (select row_number() over () r, doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents),
 l as (select r, unnest(ls) line, generate_subscripts(ls, 1) pos from d),
@@ -193,6 +219,7 @@ from ends
 
 ORACLE: dict[str, str] = {
     "op4_chunked_warc": WARC,
+    "op8_gear_chunks": PASSAGES,
     "op9_pfair_mixture": _mixture(),
     "op10_line_quality": QUALITY,
     "op11_line_runs": LINES,
