@@ -175,3 +175,27 @@ def test_shuffle_is_reproducible(spark, folder):
         [(r.doc_id, r.llm_shard, r.llm_slot) for r in
          write_shuffled(table(spark, folder, "documents"), seed=s).collect()] for s in (1, 1, 2))
     assert sorted(a) == sorted(b) != sorted(c)
+
+
+BITS = ["a", "b", "Z", "é", "ß", "İ", "Σ", "漢", "0", "5", *" " * 4, "  ", "\n", "\n\n", "\t", "\r\n", " \n", "\u00a0", "\u3000",
+        "\u2003", "\u0085", "'", "'s", "'t", "'LL", "’", ".", ",", "!", "(", "-", "~", "≠", "\u0301", "\u0338", "=",
+        "<|endoftext|>", "<|EndOfText|>", "\x00", "\x1c", "👩‍💻", "/", '"', "word", "Hello", "don't", "\u200b", "½", "٣"]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_mixed_scripts_and_white_space_give_the_ids_of_whole_texts(path, monkeypatch):
+    import random
+
+    from tribunal.llm import tokens
+
+    r = random.Random(11)
+    texts = ["".join(r.choice(BITS) for _ in range(r.randint(0, 30))) for _ in range(4000)]
+    code = "def f(x):\n    if x:\n\n        return  {'a': x}\n\t\n   "
+    texts += [code, code * 3 + "\n", "para one.\n\n  Indented  para\u00a0two.\n", "\n", "  ", " " * 50 + "x"]
+    expected = [x.ids for x in LIBRARY[path].encode_batch(texts, add_special_tokens=False)]
+    for remembered in (10**6, 50):                      # and with a memory that is too small
+        monkeypatch.setattr(tokens, "REMEMBERED", remembered)
+        own = tokens.Encoder(path)
+        for some in range(0, len(texts), 500):
+            got = own.encode(texts[some:some + 500])
+            assert [np.frombuffer(g, "<u4").tolist() for g in got] == expected[some:some + 500]

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tribunal.llm.common import prepare_workers, total, written
+from tribunal.llm.common import prepare_workers, slices, text_bytes, total, written
 from tribunal.llm.tokens import encoder
 from tribunal.session import new_path
 
@@ -31,6 +31,8 @@ _READ = "file string, doc_id long, place long, before long, n_tokens long, ids_c
 _POLYNOMIAL = 0x82F63B78
 _MASK = 0xA282EAD8
 _BLOCK = 1024
+#: Bytes of text encoded at once.
+TEXT_SLICE = 4 << 20
 
 
 def _byte_table() -> np.ndarray:
@@ -155,21 +157,22 @@ def write_records(
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        enc = encoder(tokenizer)
         store, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         out, path, sink, at, first = [], None, None, 0, None
         for part in parts:
-            keys, texts, numbers = (part.column(c).to_pylist() for c in range(3))
-            for i in range(0, len(keys), 256):
-                for doc, row, raw in zip(keys[i:i + 256], numbers[i:i + 256], enc.encode(texts[i:i + 256])):
+            keys, numbers = part.column(0).to_pylist(), part.column(2).to_pylist()
+            _, starts, ends = text_bytes(part.column(1))
+            for i, j in slices(starts, ends, TEXT_SLICE):
+                ids, counts = enc.ids_with_end(part.column(1).slice(i, j - i), end_id)
+                for doc, row, own in zip(keys[i:j], numbers[i:j], np.split(ids, np.cumsum(counts)[:-1])):
                     if sink is None:
                         path, first = f"{uuid.uuid4().hex}.records", (doc, row)
                         store.create_dir(base, recursive=True)
                         sink = store.open_output_stream(f"{base}/{path}")
-                    ids = np.frombuffer(raw + end, dtype="<u4")
-                    data = serialize(doc, ids)
+                    data = serialize(doc, own)
                     sink.write(frame(data))
-                    out.append((path, None, *first, doc, at, len(data), len(ids)))
+                    out.append((path, None, *first, doc, at, len(data), len(own)))
                     at += len(data) + 16
                 if len(out) >= 10_000:
                     yield _index_batch(out)
