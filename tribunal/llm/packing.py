@@ -8,15 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tribunal.llm.common import prepare_workers, total
+from tribunal.llm.common import ROWS_OUT, binaries, prepare_workers, slices, text_bytes, total
 from tribunal.llm.tokens import encoder
 from tribunal.operators.ordering import earlier_sums
 
 _PIECES = "_llm_doc long, _llm_start long, _llm_length int, _llm_tokens long, _llm_ids binary"
+_PIECE_TITLES = ["_llm_doc", "_llm_start", "_llm_length", "_llm_tokens", "_llm_ids", "_llm_before"]
 _PACKED = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
            "cost double, ids binary")
 
 
+#: Bytes of text encoded at once.
+TEXT_SLICE = 4 << 20
 #: Buckets of the order that one task sums up at once.
 BUCKETS_PER_RUN = 4_096
 
@@ -109,25 +112,24 @@ def pack(
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        kind = "<u2" if max(enc.vocabulary, end_id) < 1 << 16 else "<u4"
-        end = np.array([end_id], dtype="<u4").tobytes()
+        kind = np.dtype("<u2" if max(enc.vocabulary, end_id) < 1 << 16 else "<u4")
         for part in parts:
-            keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-            places = list(zip(*(part.column(c).to_pylist() for c in (2, 3)))) if order else [(0, 0)] * len(keys)
-            for at in range(0, len(keys), 256):
-                out = []
-                for doc, (before, width), raw in zip(
-                        keys[at:at + 256], places[at:at + 256], enc.encode(texts[at:at + 256])):
-                    ids = np.frombuffer(raw + end, dtype="<u4").astype(kind)
-                    for start in range(0, len(ids), capacity):
-                        piece = ids[start:start + capacity]
-                        out.append((doc, start, len(piece), len(ids), piece.tobytes(),
-                                    before + width * start // len(ids)))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
-                titles = ["_llm_doc", "_llm_start", "_llm_length", "_llm_tokens", "_llm_ids", "_llm_before"]
-                n = 5 + bool(order)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), kinds[:n])], titles[:n])
+            _, starts, ends = text_bytes(part.column(1))
+            for i, j in slices(starts, ends, TEXT_SLICE):
+                some = part.slice(i, j - i)
+                ids, counts = enc.ids_with_end(some.column(1), end_id)
+                pieces = -(-counts // capacity)
+                row = np.repeat(np.arange(j - i), pieces)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+                length = np.minimum(counts[row] - start, capacity)
+                columns = [some.column(0).take(pa.array(row)), pa.array(start), pa.array(length, pa.int32()),
+                           pa.array(counts[row]), binaries(ids.astype(kind), length)]
+                if order:
+                    before, width = (some.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+                    columns.append(pa.array(before[row] + width[row] * start // counts[row]))
+                batch = pa.RecordBatch.from_arrays(columns, _PIECE_TITLES[:len(columns)])
+                for k in range(0, len(row), ROWS_OUT):
+                    yield batch.slice(k, ROWS_OUT)
 
     def fill(group: pa.Table) -> pa.Table:
         ranks = np.lexsort((
