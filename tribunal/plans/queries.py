@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tribunal.functions import rules
 from tribunal.operators import detect, explain as X, features as E, metrics as M, prepare as R, profile as P
 from tribunal.operators import score as S, verdict as V
-from tribunal.operators.candidates import TrainingFacts, logistic, ridge
+from tribunal.operators.candidates import PROFILES, TrainingFacts, candidates, logistic, ridge
 from tribunal.operators.folds import kfold, stratified_folds
 from tribunal.operators.knn import class_shares, feature_array, knn_fold_predictions, knn_predict
 from tribunal.operators.mutual_info import (
@@ -403,15 +403,16 @@ def importance_view(spark, folder):
 
 
 def _forest(spark, folder):
-    from pyspark.ml.regression import RandomForestRegressor
+    """Parts as vectors, and the forest that the analyses fit."""
     rows = _price_vectors(spark, folder).repartition(8, "row_id").sortWithinPartitions("row_id")
-    return rows, RandomForestRegressor(numTrees=100, maxDepth=6, maxBins=64, seed=rules.SEED).fit(rows)
+    forest = next(c for c in candidates(rules.REGRESSION, PROFILES["full"]) if c.name == rules.FOREST)
+    return rows, forest.estimator(TrainingFacts(0, 0.0, 0)).fit(rows)
 
 
 def tree_shap(spark, folder):
     """Shapley values of a forest for every part; they add up to its output."""
     rows, model = _forest(spark, folder)
-    ensemble = X.tree_ensemble(model, spark, 2)
+    ensemble = X.tree_ensemble(model, spark)
     values = X.tree_shap_values(rows, ensemble)
     total = F.aggregate("phi", F.lit(float(ensemble.base[0])), lambda a, v: a + v)
     return model.transform(rows).join(values, "row_id").select(
