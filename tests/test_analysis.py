@@ -38,7 +38,7 @@ def test_classification_end_to_end(spark, docs):
     assert {r["training_time_sec"] for r in docs.metrics.collect()} == {0.25}
     assert set(docs.models) == {rules.LOGISTIC, rules.TREE, rules.FOREST, rules.BOOSTING, rules.KNN}
     steps = [r["step"] for r in docs.decision_log.collect()]
-    assert steps[0] == "Target Separation" and "Target Encoding" in steps and steps[-1] == "Mutual Information Ranking"
+    assert steps[0] == "Target Separation" and "Target Classes" in steps and steps[-1] == "Mutual Information Ranking"
     assert docs.sample_values and docs.explanation.shap_error is None
 
 

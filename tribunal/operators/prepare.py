@@ -353,9 +353,9 @@ def encode_target(df: DataFrame, target: str, output: str = "label") -> tuple[Da
         ordered = [r["label"] for r in sorted(head, key=lambda r: r["code"])]
         position = F.array_position(F.array(*[F.lit(v) for v in ordered]), text) - 1
         return df.withColumn(output, position.cast("double")), codes
-    renamed = codes.select(F.col("label").alias("_label"), F.col("code").cast("double").alias(output))
-    joined = df.withColumn("_text", text).join(renamed, F.col("_text") == F.col("_label"), "left")
-    return joined.drop("_text", "_label"), codes
+    renamed = codes.select(F.col("label").alias("_class_text"), F.col("code").cast("double").alias(output))
+    joined = df.withColumn("_own_text", text).join(renamed, F.col("_own_text") == F.col("_class_text"), "left")
+    return joined.drop("_own_text", "_class_text"), codes
 
 
 def cast_target(df: DataFrame, target: str, output: str = "label") -> DataFrame:

@@ -19,7 +19,7 @@ from tribunal.operators.mutual_info import (
 from tribunal.operators.prepare import (
     Preparation, cast_target, decision_log, encode_target, fit_preparation,
 )
-from tribunal.operators.score import Scorer
+from tribunal.operators.score import Scorer, class_list
 from tribunal.operators.training import (
     TrainingTable, cross_validate, metrics_frame, refit, training_table,
 )
@@ -153,11 +153,12 @@ def analyze(
         chosen = chosen.withColumn("_row_id", name(row_id))
         row_id = "_row_id"
     prepared, codes = prepared_rows(chosen, preparation, row_id)
-    labels = [] if codes is None else [r["label"] for r in codes.orderBy("code").collect()]
+    n_classes, labels = class_list(codes)
     steps = list(preparation.steps)
     if codes is not None:
-        steps.append({"step": "Target Encoding", "rule": "Class labels in text order become 0, 1, 2, …",
-                      "label_classes": dict(enumerate(labels))})
+        # A long list of labels stays in its table.
+        steps.append({"step": "Target Classes", "rule": "Labels sorted as text are numbered from 0.",
+                      "classes": n_classes, "label_classes": dict(enumerate(labels))})
     log.append(("preprocessing", steps))
 
     selected, feature_steps, report = E.select(prepared, preparation.features)
@@ -186,7 +187,7 @@ def analyze(
     train_rows = None
     if best and models[best] is None:
         train_rows = prepared.select("row_id", "label", *[name(f) for f in selected])
-    scorer = Scorer(best, problem_type, preparation, selected, labels, models.get(best), train_rows)
+    scorer = Scorer(best, problem_type, preparation, selected, labels, models.get(best), train_rows, codes, n_classes)
 
     decisions = None
     for phase, phase_steps in log:

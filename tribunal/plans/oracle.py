@@ -527,6 +527,18 @@ ORACLE: dict[str, str] = {
     "class_probabilities_knn": _SHARES + """ select id as doc_id, greatest(p0, p1) as confidence,
         case when greatest(p0, p1) >= 0.75 then 'high' when greatest(p0, p1) >= 0.5 then 'medium' else 'low' end as confidence_band,
         round(p0, 4) as p0, round(p1, 4) as p1, case when p1 > p0 then 'good' else 'poor' end as prediction_label from votes""",
+    "score_many_classes": """with o as (select o_orderkey id, o_totalprice::double x, o_custkey::varchar c from orders),
+        codes as (select c, row_number() over (order by c) - 1 code from (select distinct c from o)),
+        placed as (select *, row_number() over (order by x, id) pos from o),
+        near as (select a.id, b.c, row_number() over (partition by a.id order by (a.x - b.x) * (a.x - b.x), b.id) r
+                 from placed a join placed b on b.pos between a.pos - 25 and a.pos + 25),
+        votes as (select id, code, c, count(*) n from near join codes using (c) where r <= 5 group by id, code, c),
+        best as (select *, row_number() over (partition by id order by n desc, code) place, count(*) over (partition by id) classes,
+                 sum(n) over (partition by id) total from votes)
+        select id o_orderkey, code, c prediction_label, n / total confidence,
+               case when n / total >= 0.75 then 'high' when n / total >= 0.5 then 'medium' else 'low' end confidence_band,
+               classes::int classes, round(n / total, 4) probability from best where place = 1""",
+    "tree_shap_adds_up": "select p_partkey row_id, true adds_up from part",
     "sorted_probabilities": _SHARES + """, l as (select id, 'poor' as label, round(p0, 4) as probability from votes
         union all select id, 'good', round(p1, 4) from votes)
         select id as row_id, label, probability, row_number() over (partition by id order by probability desc, label) as position,

@@ -419,6 +419,12 @@ def tree_shap(spark, folder):
         "row_id", F.round("prediction", 6).alias("prediction"), F.round(total, 6).alias("base_plus_shap"))
 
 
+def tree_shap_adds_up(spark, folder):
+    """Whether base value and Shapley values of each part add up to the forest's prediction."""
+    return tree_shap(spark, folder).select(
+        "row_id", (F.abs(F.col("prediction") - F.col("base_plus_shap")) < 1e-5).alias("adds_up"))
+
+
 def tree_shap_ranking(spark, folder):
     rows, model = _forest(spark, folder)
     return X.shap_ranking(model, rows, ["key_k", "size"])
@@ -483,6 +489,19 @@ def sorted_probabilities(spark, folder):
     return S.sorted_probabilities(_doc_shares(spark, folder), "row_id")
 
 
+def score_many_classes(spark, folder):
+    """Which customer's order costs like this one: a class per customer, codes and labels as tables throughout."""
+    orders = T.table(spark, folder, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("string").alias("customer"))
+    coded, codes = R.encode_target(orders, "customer", "code")
+    found = knn_predict(coded, coded, ["o_totalprice"], "o_orderkey", "code", True)
+    rows = found.select("row_id", "prediction", S.near_entries(F.col("near")).alias("entries"))
+    scored = S.sparse_probabilities(rows, "row_id", codes, codes.count())
+    return scored.select(
+        F.col("row_id").alias("o_orderkey"), F.col("prediction").cast("long").alias("code"), "prediction_label", "confidence",
+        "confidence_band", F.size("class_probabilities").alias("classes"),
+        F.element_at("class_probabilities_labeled", F.col("prediction_label")).alias("probability"))
+
+
 def score_linear(spark, folder):
     """Parts scored with the ridge model in one projection."""
     rows = _price_vectors(spark, folder)
@@ -600,6 +619,7 @@ QUERIES: dict[str, Query] = {
     "coefficient_importance": coefficient_importance,
     "importance_view": importance_view,
     "tree_shap": tree_shap,
+    "tree_shap_adds_up": tree_shap_adds_up,
     "tree_shap_ranking": tree_shap_ranking,
     "native_importance": native_importance,
     "score_fill_defaults": score_fill_defaults,
@@ -607,6 +627,7 @@ QUERIES: dict[str, Query] = {
     "score_align": score_align,
     "score_linear": score_linear,
     "class_probabilities_knn": class_probabilities_knn,
+    "score_many_classes": score_many_classes,
     "sorted_probabilities": sorted_probabilities,
     "overfit_bands": overfit_bands,
     "analyze_classification": analyze_classification,

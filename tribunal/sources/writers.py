@@ -61,7 +61,7 @@ def save_scorer(scorer: Scorer, spark: SparkSession, folder: str) -> None:
         "labels": scorer.labels, "target": p.target, "features": p.features, "original": p.original,
         "n_rows": p.n_rows, "steps": p.steps,
         "model_class": None if scorer.model is None else type(scorer.model).__name__,
-        "neighbours": scorer.train_rows is not None,
+        "neighbours": scorer.train_rows is not None, "classes": scorer.n_classes, "coded": scorer.codes is not None,
         "numeric": {f: [v.median, v.mean, v.std, v.missing] for f, v in p.numeric.items()},
         "categorical": {f: [v.categories, v.mode] for f, v in p.categorical.items()},
         "types": {f: t.json() for f, t in p.types.items()},
@@ -72,6 +72,8 @@ def save_scorer(scorer: Scorer, spark: SparkSession, folder: str) -> None:
         scorer.model.write().overwrite().save(f"{folder}/model")
     if scorer.train_rows is not None:
         scorer.train_rows.write.mode("overwrite").parquet(f"{folder}/rows")
+    if scorer.codes is not None:
+        scorer.codes.write.mode("overwrite").parquet(f"{folder}/codes")
 
 
 def load_scorer(spark: SparkSession, folder: str) -> Scorer:
@@ -85,4 +87,4 @@ def load_scorer(spark: SparkSession, folder: str) -> Scorer:
     model = _MODELS[facts["model_class"]].load(f"{folder}/model") if facts["model_class"] else None
     rows = spark.read.parquet(f"{folder}/rows") if facts["neighbours"] else None
     return Scorer(facts["model_name"], facts["problem_type"], preparation, facts["selected"], facts["labels"],
-                  model, rows)
+                  model, rows, spark.read.parquet(f"{folder}/codes") if facts["coded"] else None, facts["classes"])
