@@ -7,13 +7,14 @@ from typing import Callable
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
 
 from tribunal.functions import rules
+from tribunal.operators.boosting import SoftmaxBoosting
 
 
 @dataclass(frozen=True)
@@ -74,10 +75,9 @@ def candidates(problem_type: str, profile: Profile) -> list[Candidate]:
     p, seed = profile, rules.SEED
     if problem_type == rules.CLASSIFICATION:
         def boosted(facts: TrainingFacts) -> Estimator:
-            gbt = GBTClassifier(maxIter=p.rounds, maxDepth=p.boosting_depth, stepSize=0.1, seed=seed, maxBins=p.bins)
-            if facts.n_classes <= 2:
-                return gbt
-            return OneVsRest(classifier=gbt, parallelism=min(8, facts.n_classes))
+            if facts.n_classes > 2:
+                return SoftmaxBoosting(facts.n_classes, p.rounds, p.boosting_depth, 0.1, p.bins)
+            return GBTClassifier(maxIter=p.rounds, maxDepth=p.boosting_depth, stepSize=0.1, seed=seed, maxBins=p.bins)
 
         builders = [
             (rules.LOGISTIC, logistic),

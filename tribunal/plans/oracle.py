@@ -538,6 +538,9 @@ ORACLE: dict[str, str] = {
         select id o_orderkey, code, c prediction_label, n / total confidence,
                case when n / total >= 0.75 then 'high' when n / total >= 0.5 then 'medium' else 'low' end confidence_band,
                classes::int classes, round(n / total, 4) probability from best where place = 1""",
+    "softmax_roles": """select conv_id::varchar || '-' || turn::varchar turn_id,
+        (select count(distinct role) from conversations)::int classes, true adds_up, true likeliest
+        from conversations where role is not null""",
     "tree_shap_adds_up": "select p_partkey row_id, true adds_up from part",
     "sorted_probabilities": _SHARES + """, l as (select id, 'poor' as label, round(p0, 4) as probability from votes
         union all select id, 'good', round(p1, 4) from votes)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tribunal.functions import rules
@@ -467,6 +468,21 @@ def score_encode_unseen(spark, folder):
     return kept.join(inserted, "doc_id")
 
 
+def softmax_roles(spark, folder):
+    """Whether the class probabilities of boosted trees for every turn's role add up to 1, and the guess is the likeliest."""
+    prepared, codes = prepared_rows(
+        T.turn_roles(spark, folder), R.fit_preparation(T.turn_roles(spark, folder), "role", rules.CLASSIFICATION, ["turn_id"]), "turn_id")
+    rows = VectorAssembler(inputCols=["turn", "n_chars"], outputCol="features").transform(prepared)
+    boosted = next(c for c in candidates(rules.CLASSIFICATION, PROFILES["full"]) if c.name == rules.BOOSTING)
+    model = boosted.estimator(TrainingFacts(0, 0.0, codes.count())).fit(rows)
+    shares = vector_to_array("probability")
+    scored = model.transform(rows)
+    total = F.aggregate(shares, F.lit(0.0), lambda a, v: a + v)
+    return scored.select(
+        F.col("row_id").alias("turn_id"), F.size(shares).alias("classes"), (F.abs(total - 1) < 1e-9).alias("adds_up"),
+        (F.get(shares, F.col("prediction").cast("int")) == F.array_max(shares)).alias("likeliest"))
+
+
 def score_align(spark, folder):
     return S.align_features(T.part_price(spark, folder), ["p_size", "not_there"], ["p_partkey"])
 
@@ -625,6 +641,7 @@ QUERIES: dict[str, Query] = {
     "score_fill_defaults": score_fill_defaults,
     "score_encode_unseen": score_encode_unseen,
     "score_align": score_align,
+    "softmax_roles": softmax_roles,
     "score_linear": score_linear,
     "class_probabilities_knn": class_probabilities_knn,
     "score_many_classes": score_many_classes,

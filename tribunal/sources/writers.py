@@ -13,6 +13,7 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tribunal.operators.boosting import SoftmaxModel
 from tribunal.operators.prepare import CategoryParams, NumericParams, Preparation
 from tribunal.operators.score import Scorer
 from tribunal.operators.verdict import rule_catalogue
@@ -68,7 +69,9 @@ def save_scorer(scorer: Scorer, spark: SparkSession, folder: str) -> None:
     }
     spark.createDataFrame([(json.dumps(facts, ensure_ascii=False),)], "value string").write.mode("overwrite").text(
         f"{folder}/facts")
-    if scorer.model is not None:
+    if isinstance(scorer.model, SoftmaxModel):
+        scorer.model.save(spark, f"{folder}/model")
+    elif scorer.model is not None:
         scorer.model.write().overwrite().save(f"{folder}/model")
     if scorer.train_rows is not None:
         scorer.train_rows.write.mode("overwrite").parquet(f"{folder}/rows")
@@ -76,6 +79,12 @@ def save_scorer(scorer: Scorer, spark: SparkSession, folder: str) -> None:
         scorer.codes.write.mode("overwrite").parquet(f"{folder}/codes")
 
 
+def _load_model(spark: SparkSession, kind: str | None, path: str):
+    if kind == SoftmaxModel.__name__:
+        return SoftmaxModel.load(spark, path)
+    return _MODELS[kind].load(path) if kind else None
+
+
 def load_scorer(spark: SparkSession, folder: str) -> Scorer:
     facts = json.loads(spark.read.text(f"{folder}/facts").first()["value"])
     types = {f: T._parse_datatype_json_string(t) for f, t in facts["types"].items()}
@@ -84,7 +93,7 @@ def load_scorer(spark: SparkSession, folder: str) -> Scorer:
         {f: NumericParams(*v) for f, v in facts["numeric"].items()},
         {f: CategoryParams(*v) for f, v in facts["categorical"].items()},
         types, facts["original"], facts["n_rows"], facts["steps"])
-    model = _MODELS[facts["model_class"]].load(f"{folder}/model") if facts["model_class"] else None
+    model = _load_model(spark, facts["model_class"], f"{folder}/model")
     rows = spark.read.parquet(f"{folder}/rows") if facts["neighbours"] else None
     return Scorer(facts["model_name"], facts["problem_type"], preparation, facts["selected"], facts["labels"],
                   model, rows, spark.read.parquet(f"{folder}/codes") if facts["coded"] else None, facts["classes"])
