@@ -9,7 +9,7 @@ from fixtures import DOCS, documents, empty, lower_az
 
 from tribunal.llm.common import text_bytes
 from tribunal.llm.lexical import (
-    Block, Search, Sketching, build_index, lexical_search, search, sketches, term_counts,
+    Block, COORDINATES, Search, build_index, lexical_search, search, sketches, term_counts,
 )
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -63,9 +63,11 @@ def test_matches_brute_force(spark):
     docs = documents(spark, rows)
     assert got(lexical_search(docs, items(spark, asked))) == expected
     small = Search(seeds=3, seeds_per_task=2, queries=7, round_pairs=1)
-    index = build_index(docs, how=Sketching(spread=1, least=2, most=16))
-    assert got(search(index, items(spark, asked), how=small)) == expected
-    assert got(search(index, items(spark, asked), how=Search(places=3))) == [x for x in expected if x[1] <= 3]
+    for coordinates in (1, 16):
+        index = build_index(docs, coordinates=coordinates)
+        assert got(search(index, items(spark, asked), how=small, coordinates=coordinates)) == expected
+    three = [x for x in expected if x[1] <= 3]
+    assert got(search(index, items(spark, asked), how=Search(places=3), coordinates=16)) == three
 
 
 def test_awkward_documents_and_items(spark):
@@ -92,12 +94,16 @@ def test_bounds_hold_and_prune():
     block = Block(asked)
     df = Counter(code.tolist())
     block.weigh({n: df[int(c)] for n, c in enumerate(block.vocabulary)}, len(texts), int(size.sum()))
-    cells, width = sketches(own, code, count, len(texts), Sketching())
-    bounds = np.zeros((len(texts), len(asked)))
-    for docs, some in block.bounds(size, cells, width):
-        bounds[docs] = some
-    docs, queries = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(asked)), indexing="ij"))
-    scores = block.scores(size, code, count, np.bincount(own, minlength=len(texts)), docs, queries).reshape(bounds.shape)
-    assert (bounds >= scores).all()
-    last = np.sort(scores, axis=0)[-50]
-    assert (bounds >= last).sum() < 0.5 * bounds.size
+    shares = []
+    for coordinates in (64, COORDINATES):
+        at, coordinate, peak = sketches(own, code, count, coordinates)
+        bounds = np.zeros((len(texts), len(asked)))
+        for docs, some in block.bounds(size, coordinate, peak, np.bincount(at, minlength=len(texts)), coordinates):
+            bounds[docs] = some
+        docs, queries = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(asked)), indexing="ij"))
+        matched = block.matched(code, count, np.bincount(own, minlength=len(texts)))
+        scores = block.scores(size, matched, docs, queries).reshape(bounds.shape)
+        assert (bounds >= scores).all()
+        last = np.sort(scores, axis=0)[-50]
+        shares.append((bounds >= last).mean())
+    assert shares[1] < 0.15 < shares[0]
