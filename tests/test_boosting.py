@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.feature import VectorAssembler
 
 from tribunal.functions.shapley import expected
-from tribunal.operators import explain as X
+from tribunal.operators import boosting as B, explain as X
 from tribunal.operators.boosting import SoftmaxBoosting, SoftmaxModel, softmax
 
 
@@ -55,7 +55,9 @@ def _reference(x, y, edges, rounds, depth, step, K):
     return raw
 
 
-def test_equals_the_method_on_plain_arrays(rows):
+@pytest.mark.parametrize("on_driver", [0, 10**6])
+def test_equals_the_method_on_plain_arrays(rows, monkeypatch, on_driver):
+    monkeypatch.setattr(B, "CELLS_ON_DRIVER", on_driver)
     boost = SoftmaxBoosting(4, rounds=3, depth=2, bins=16)
     model = boost.fit(rows)
     x, y, _ = _arrays(rows)

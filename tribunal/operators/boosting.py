@@ -25,6 +25,8 @@ from tribunal.session import freeze, ship_package
 
 #: Rounds between two cuts of the lineage.
 ROUNDS_PER_CUT = 10
+#: Sums over (model, class, node, feature, bin) that one level may bring to the driver; their number does not grow with the rows.
+CELLS_ON_DRIVER = 500_000
 _SUMS = "m int, k int, node int, f int, b int, n double, r double, h double"
 
 
@@ -263,15 +265,11 @@ class SoftmaxBoosting:
                 ["m", "k", "node", "f", "b", "n", "r", "h"])
 
         cells = state.mapInArrow(sums, _SUMS).groupBy("m", "k", "node", "f", "b").agg(*[F.sum(c).alias(c) for c in "nrh"])
-        of = Window.partitionBy("m", "k", "node", "f")
-        left = of.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        both = cells.select("m", "k", "node", "f", "b", *[F.sum(c).over(left).alias(f"{c}l") for c in "nrh"],
-                            *[F.sum(c).over(of).alias(c) for c in "nrh"])
-        gap = F.col("rl") / F.col("nl") - (F.col("r") - F.col("rl")) / (F.col("n") - F.col("nl"))
-        gain = F.when(F.col("nl") < F.col("n"), F.col("nl") * (F.col("n") - F.col("nl")) / F.col("n") * gap * gap).otherwise(0.0)
-        best = both.withColumn("gain", F.round(gain, 10)).groupBy("m", "k", "node").agg(
-            F.max_by(F.struct("f", "b", "gain", "nl", "rl", "hl", "n", "r", "h"), F.struct("gain", -F.col("f"), -F.col("b"))).alias("s"))
-        for row in best.select("m", "k", "node", "s.*").collect():
+        if M * K * nodes * d * B <= CELLS_ON_DRIVER:
+            splits = _best_on_driver(cells.toPandas(), (M, K, nodes, d, B))
+        else:
+            splits = (r.asDict() for r in _best_splits(cells).collect())
+        for row in splits:
             t, at = grown[row["m"]], (r, row["k"], row["node"] + nodes - 1)
             sides = [(row["nl"], row["rl"], row["hl"]), (row["n"] - row["nl"], row["r"] - row["rl"], row["h"] - row["hl"])]
             if row["gain"] > 0:
@@ -286,6 +284,39 @@ class SoftmaxBoosting:
                     t.value[r, row["k"], 2 * row["node"] + side] = self.step * newton
 
 
+def _best_splits(cells: DataFrame) -> DataFrame:
+    """(m, k, node) with the split of the largest improvement and the sums on its left and in all; of equal ones the first."""
+    of = Window.partitionBy("m", "k", "node", "f")
+    left = of.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = cells.select("m", "k", "node", "f", "b", *[F.sum(c).over(left).alias(f"{c}l") for c in "nrh"],
+                        *[F.sum(c).over(of).alias(c) for c in "nrh"])
+    gap = F.col("rl") / F.col("nl") - (F.col("r") - F.col("rl")) / (F.col("n") - F.col("nl"))
+    gain = F.when(F.col("nl") < F.col("n"), F.col("nl") * (F.col("n") - F.col("nl")) / F.col("n") * gap * gap).otherwise(0.0)
+    best = both.withColumn("gain", F.round(gain, 10)).groupBy("m", "k", "node").agg(
+        F.max_by(F.struct("f", "b", "gain", "nl", "rl", "hl", "n", "r", "h"), F.struct("gain", -F.col("f"), -F.col("b"))).alias("s"))
+    return best.select("m", "k", "node", "s.*")
+
+
+def _best_on_driver(cells: pd.DataFrame, shape: tuple[int, ...]) -> Iterator[dict]:
+    """``_best_splits`` of sums whose number is bounded by the shape of the trees."""
+    sums = np.zeros((3, *shape))
+    sums[(slice(None), *(cells[c].to_numpy() for c in ("m", "k", "node", "f", "b")))] = cells[["n", "r", "h"]].to_numpy().T
+    left, whole = np.cumsum(sums, axis=-1), sums.sum(axis=-1, keepdims=True)
+    rest = whole - left
+    inside = (left[0] > 0) & (rest[0] > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gap = left[1] / left[0] - rest[1] / rest[0]
+        gain = np.where(inside, np.round(left[0] * rest[0] / whole[0] * gap * gap, 10), 0.0)
+    m, k, node, d, bins = shape
+    flat = gain.reshape(m * k * node, d * bins)
+    for place, best in enumerate(flat.argmax(axis=1).tolist()):
+        at = (*np.unravel_index(place, (m, k, node)), *np.unravel_index(best, (d, bins)))
+        totals = whole[(slice(None), *at[:4], 0)]
+        if totals[0]:
+            yield {**dict(zip(("m", "k", "node", "f", "b"), map(int, at))), "gain": float(gain[at]),
+                   **dict(zip(("nl", "rl", "hl"), left[(slice(None), *at)].tolist())), **dict(zip("nrh", totals.tolist()))}
+
+
 def _bytes(rows: np.ndarray) -> pa.Array:
     """Each row of a matrix as one binary value."""
     rows = np.ascontiguousarray(rows)
