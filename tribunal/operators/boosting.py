@@ -186,15 +186,15 @@ class SoftmaxBoosting:
                        np.zeros((self.rounds, K, (1 << self.depth) - 1))) for _ in left_out]
         state = self._binned(plain, edges, base).persist(StorageLevel.MEMORY_AND_DISK)
         for r in range(self.rounds):
+            before = None
+            if r:
+                before, state = state, self._advanced(state, grown, r - 1)
+                state = freeze(state) if r % ROUNDS_PER_CUT == 0 else state.persist(StorageLevel.MEMORY_AND_DISK)
             for level in range(self.depth):
                 self._grow(state, grown, r, level, left_out, d)
-            if r + 1 < self.rounds:
-                following = self._advanced(state, grown, r)
-                following = freeze(following) if (r + 1) % ROUNDS_PER_CUT == 0 else following.persist(StorageLevel.MEMORY_AND_DISK)
-                if (r + 1) % ROUNDS_PER_CUT:
-                    following.count()
-                state.unpersist()
-                state = following
+                if before is not None:
+                    before.unpersist()      # the first level has read it
+                    before = None
         state.unpersist()
         return [SoftmaxModel(grown[m], edges, base[m], d) for m in range(M)]
 

@@ -541,6 +541,14 @@ ORACLE: dict[str, str] = {
     "softmax_roles": """select conv_id::varchar || '-' || turn::varchar turn_id,
         (select count(distinct role) from conversations)::int classes, true adds_up, true likeliest
         from conversations where role is not null""",
+    "ridge_folds": f"""with v as (select p_partkey / 1000.0::double as a, p_size::double as b, p_retailprice as y, {_KFOLD} as fold from part),
+        kept as (select h.left_out, a, b, y from v, (select unnest([0, 1, 2, 3, 4, -1]) as left_out) h where fold <> left_out),
+        mean as (select left_out, avg(a) as ma, avg(b) as mb, avg(y) as my from kept group by all),
+        s as (select left_out, sum((a - ma) * (a - ma)) + 1 as aa, sum((b - mb) * (b - mb)) + 1 as bb, sum((a - ma) * (b - mb)) as ab,
+                     sum((a - ma) * (y - my)) as ay, sum((b - mb) * (y - my)) as "by" from kept join mean using (left_out) group by all),
+        w as (select left_out, (ay * bb - "by" * ab) / (aa * bb - ab * ab) as wa, ("by" * aa - ay * ab) / (aa * bb - ab * ab) as wb from s)
+        select left_out, round(wa, 6) as key_k, round(wb, 6) as size, round(my - wa * ma - wb * mb, 6) as intercept
+        from w join mean using (left_out)""",
     "tree_shap_adds_up": "select p_partkey row_id, true adds_up from part",
     "sorted_probabilities": _SHARES + """, l as (select id, 'poor' as label, round(p0, 4) as probability from votes
         union all select id, 'good', round(p1, 4) from votes)

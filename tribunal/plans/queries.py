@@ -17,6 +17,7 @@ from tribunal.operators.knn import class_shares, feature_array, knn_fold_predict
 from tribunal.operators.mutual_info import (
     binned_mutual_info, neighbour_mutual_info, neighbour_mutual_info_regression,
 )
+from tribunal.operators.ridge import ridge_models
 from tribunal.operators.ordering import order_statistics
 from tribunal.plans import fixtures as T, report
 from tribunal.plans.analysis import Analysis, analyze, prepared_rows
@@ -286,6 +287,15 @@ def ridge_coefficients(spark, folder):
         "key_k double, size double, intercept double")
 
 
+def ridge_folds(spark, folder):
+    """Coefficients without each of five folds (-1: of all rows) from one scan."""
+    rows = kfold(_price_vectors(spark, folder), "row_id")
+    models = ridge_models(rows, rules.N_FOLDS)
+    return spark.createDataFrame(
+        [(f if f < rules.N_FOLDS else -1, *(round(float(v), 6) for v in (*m.coefficients, m.intercept))) for f, m in enumerate(models)],
+        "left_out int, key_k double, size double, intercept double")
+
+
 def logistic_coefficients(spark, folder):
     rows = _standard_docs(spark, folder)
     n = rows.count()
@@ -616,6 +626,7 @@ QUERIES: dict[str, Query] = {
     "stratified_folds": stratified,
     "kfold": kfolds,
     "ridge_coefficients": ridge_coefficients,
+    "ridge_folds": ridge_folds,
     "logistic_coefficients": logistic_coefficients,
     "knn_classify": knn_classify,
     "knn_regress": knn_regress,
