@@ -2,6 +2,6 @@
 
 from tribunal.plans.analysis import Analysis, analyze
 from tribunal.sources.readers import read_table
-from tribunal.sources.writers import load_scorer, save_scorer, write_analysis
+from tribunal.sources.writers import load_run, load_scorer, save_run, save_scorer, write_analysis
 
-__all__ = ["Analysis", "analyze", "load_scorer", "read_table", "save_scorer", "write_analysis"]
+__all__ = ["Analysis", "analyze", "load_run", "load_scorer", "read_table", "save_run", "save_scorer", "write_analysis"]

@@ -19,7 +19,7 @@ from tribunal.operators.mutual_info import (
 from tribunal.operators.prepare import (
     Preparation, cast_target, decision_log, encode_target, fit_preparation,
 )
-from tribunal.operators.score import Scorer, class_list
+from tribunal.operators.score import ModelRun, Scorer, class_list
 from tribunal.operators.training import (
     TrainingTable, cross_validate, metrics_frame, refit, training_table,
 )
@@ -48,6 +48,12 @@ class Analysis:
     statistics: DataFrame | None = None
     sample_values: list = field(default_factory=list)
     table: TrainingTable | None = None
+    neighbours: DataFrame | None = None
+
+    @property
+    def run(self) -> ModelRun:
+        """Every model that was refitted; all of them after ``keep_all``."""
+        return ModelRun(self.scorer, self.models, self.neighbours)
 
     @property
     def leaderboard(self) -> DataFrame:
@@ -184,9 +190,10 @@ def analyze(
     wanted = succeeded if keep_all else [best] if best else []
     models = {c.name: refit(table, c) for c in pool if c.name in wanted}
     explanation = X.explain(models[best], best, table.rows, selected, sample_rows) if best else None
-    train_rows = None
-    if best and models[best] is None:
-        train_rows = prepared.select("row_id", "label", *[name(f) for f in selected])
+    neighbours = None
+    if any(m is None for m in models.values()):
+        neighbours = prepared.select("row_id", "label", *[name(f) for f in selected])
+    train_rows = neighbours if best and models[best] is None else None
     scorer = Scorer(best, problem_type, preparation, selected, labels, models.get(best), train_rows, codes, n_classes)
 
     decisions = None
@@ -201,4 +208,4 @@ def analyze(
         judged=judged, explanation=explanation, scorer=scorer, models=models,
         distribution=detect.class_distribution(chosen, target) if classify else None,
         statistics=None if classify else detect.target_stats(chosen, target),
-        sample_values=detect.sample_values(chosen, target, row_id), table=table)
+        sample_values=detect.sample_values(chosen, target, row_id), table=table, neighbours=neighbours)

@@ -549,6 +549,12 @@ ORACLE: dict[str, str] = {
         w as (select left_out, (ay * bb - "by" * ab) / (aa * bb - ab * ab) as wa, ("by" * aa - ay * ab) / (aa * bb - ab * ab) as wb from s)
         select left_out, round(wa, 6) as key_k, round(wb, 6) as size, round(my - wa * ma - wb * mb, 6) as intercept
         from w join mean using (left_out)""",
+    "score_every_model": f"""with f as (select avg(p_size::double) as m, stddev_pop(p_size::double) as s from part),
+        v as (select p_partkey, (p_size::double - m) / s as x, p_retailprice as y from part, f),
+        mean as (select avg(x) as mx, avg(y) as my from v),
+        w as (select sum((x - mx) * (y - my)) / (sum((x - mx) * (x - mx)) + 1) as w from v, mean)
+        select p_partkey, model_name, case when model_name = '{rules.RIDGE}' then round(my + w * (x - mx), 5) end as ridge, true as same
+        from v, mean, w, (select unnest(['{rules.RIDGE}', '{rules.TREE}', '{rules.FOREST}', '{rules.BOOSTING}', '{rules.KNN}']) as model_name)""",
     "tree_shap_adds_up": "select p_partkey row_id, true adds_up from part",
     "sorted_probabilities": _SHARES + """, l as (select id, 'poor' as label, round(p0, 4) as probability from votes
         union all select id, 'good', round(p1, 4) from votes)

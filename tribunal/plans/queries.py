@@ -21,8 +21,10 @@ from tribunal.operators.ridge import ridge_models
 from tribunal.operators.ordering import order_statistics
 from tribunal.plans import fixtures as T, report
 from tribunal.plans.analysis import Analysis, analyze, prepared_rows
+from tribunal.operators.training import refit, training_table
 from tribunal.session import new_path
 from tribunal.sources.readers import read_table
+from tribunal.sources.writers import load_run, save_run
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -528,6 +530,28 @@ def score_many_classes(spark, folder):
         F.element_at("class_probabilities_labeled", F.col("prediction_label")).alias("probability"))
 
 
+def score_every_model(spark, folder):
+    """All five regressors fitted to the parts, saved, loaded again and applied to every part.
+
+    Ridge predictions are given; of the others, whether the loaded model says what the fitted one does.
+    """
+    parts = T.part_price(spark, folder)
+    preparation = R.fit_preparation(parts, "p_retailprice", rules.REGRESSION, ["p_partkey"])
+    chosen = ["p_size"]
+    prepared, _ = prepared_rows(parts, preparation, "p_partkey")
+    n_rows = prepared.count()
+    table = training_table(kfold(prepared, "row_id"), chosen, rules.REGRESSION, n_rows)
+    models = {c.name: refit(table, c) for c in candidates(rules.REGRESSION, PROFILES["full"])}
+    run = S.ModelRun(S.Scorer(rules.RIDGE, rules.REGRESSION, preparation, chosen, [], models[rules.RIDGE]), models,
+                     prepared.select("row_id", "label", *chosen))
+    path = new_path(spark, "run")
+    save_run(run, spark, path)
+    fresh, loaded = (r.score_all(parts, "p_partkey") for r in (run, load_run(spark, path)))
+    both = loaded.join(fresh.withColumnRenamed("prediction", "before"), ["p_partkey", "model_name"])
+    ridge_value = F.when(F.col("model_name") == rules.RIDGE, F.round("prediction", 5))
+    return both.select("p_partkey", "model_name", ridge_value.alias("ridge"), (F.col("prediction") == F.col("before")).alias("same"))
+
+
 def score_linear(spark, folder):
     """Parts scored with the ridge model in one projection."""
     rows = _price_vectors(spark, folder)
@@ -656,6 +680,7 @@ QUERIES: dict[str, Query] = {
     "score_linear": score_linear,
     "class_probabilities_knn": class_probabilities_knn,
     "score_many_classes": score_many_classes,
+    "score_every_model": score_every_model,
     "sorted_probabilities": sorted_probabilities,
     "overfit_bands": overfit_bands,
     "analyze_classification": analyze_classification,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel, GBTClassificationModel, LogisticRegressionModel, OneVsRestModel,
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tribunal.operators.boosting import SoftmaxModel
 from tribunal.operators.prepare import CategoryParams, NumericParams, Preparation
-from tribunal.operators.score import Scorer
+from tribunal.operators.score import ModelRun, Scorer
 from tribunal.operators.verdict import rule_catalogue
 from tribunal.plans.analysis import Analysis
 from tribunal.plans.report import report_tables
@@ -69,16 +70,20 @@ def save_scorer(scorer: Scorer, spark: SparkSession, folder: str) -> None:
     }
     spark.createDataFrame([(json.dumps(facts, ensure_ascii=False),)], "value string").write.mode("overwrite").text(
         f"{folder}/facts")
-    if isinstance(scorer.model, SoftmaxModel):
-        scorer.model.save(spark, f"{folder}/model")
-    elif scorer.model is not None:
-        scorer.model.write().overwrite().save(f"{folder}/model")
+    _save_model(spark, scorer.model, f"{folder}/model")
     if scorer.train_rows is not None:
         scorer.train_rows.write.mode("overwrite").parquet(f"{folder}/rows")
     if scorer.codes is not None:
         scorer.codes.write.mode("overwrite").parquet(f"{folder}/codes")
 
 
+def _save_model(spark: SparkSession, model, path: str) -> None:
+    if isinstance(model, SoftmaxModel):
+        model.save(spark, path)
+    elif model is not None:
+        model.write().overwrite().save(path)
+
+
 def _load_model(spark: SparkSession, kind: str | None, path: str):
     if kind == SoftmaxModel.__name__:
         return SoftmaxModel.load(spark, path)
@@ -97,3 +102,32 @@ def load_scorer(spark: SparkSession, folder: str) -> Scorer:
     rows = spark.read.parquet(f"{folder}/rows") if facts["neighbours"] else None
     return Scorer(facts["model_name"], facts["problem_type"], preparation, facts["selected"], facts["labels"],
                   model, rows, spark.read.parquet(f"{folder}/codes") if facts["coded"] else None, facts["classes"])
+
+
+def save_run(run: ModelRun, spark: SparkSession, folder: str) -> None:
+    """Persist every model below ``folder``: the shared parts once, one folder per model, and a manifest.
+
+    The manifest is written last, so a folder without one is not a finished run.
+    """
+    save_scorer(replace(run.shared, model=None, train_rows=None), spark, f"{folder}/shared")
+    if run.neighbours is not None:
+        run.neighbours.write.mode("overwrite").parquet(f"{folder}/neighbours")
+    listed = []
+    for n, (title, model) in enumerate(run.models.items()):
+        _save_model(spark, model, f"{folder}/models/{n}")
+        listed.append((n, title, None if model is None else type(model).__name__, title == run.shared.model_name))
+    spark.createDataFrame(listed, "place int, model_name string, model_class string, winner boolean").write.mode(
+        "overwrite").json(f"{folder}/manifest")
+
+
+def load_run(spark: SparkSession, folder: str) -> ModelRun:
+    """What ``save_run`` has written."""
+    listed = spark.read.schema("place int, model_name string, model_class string, winner boolean").json(
+        f"{folder}/manifest").orderBy("place").collect()
+    models = {r["model_name"]: _load_model(spark, r["model_class"], f"{folder}/models/{r['place']}") for r in listed}
+    shared = load_scorer(spark, f"{folder}/shared")
+    neighbours = spark.read.parquet(f"{folder}/neighbours") if None in models.values() else None
+    winner = next((r["model_name"] for r in listed if r["winner"]), None)
+    if winner:
+        shared.model, shared.train_rows = models[winner], neighbours if models[winner] is None else None
+    return ModelRun(shared, models, neighbours)
