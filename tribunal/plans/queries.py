@@ -41,6 +41,13 @@ def csv_roundtrip(spark, folder):
     return read_table(spark, path)
 
 
+def csv_line_breaks(spark, folder):
+    """Whole documents as CSV, line breaks inside their cells, read back by as many tasks as any text."""
+    path = new_path(spark, "documents") + ".csv"
+    T.table(spark, folder, "documents").select("doc_id", "text", "source").write.csv(path, header=True, escape='"', quoteAll=True)
+    return read_table(spark, path).select("doc_id", "source", F.sha2(F.regexp_replace("text", "\r", "").cast("binary"), 256).alias("text"))
+
+
 def json_roundtrip(spark, folder):
     path = new_path(spark, "parts") + ".json"
     T.part_price(spark, folder).write.json(path)
@@ -609,6 +616,7 @@ def analyze_and_score(spark, folder):
 
 QUERIES: dict[str, Query] = {
     "csv_roundtrip": csv_roundtrip,
+    "csv_line_breaks": csv_line_breaks,
     "json_roundtrip": json_roundtrip,
     "dataset_profile": dataset_profile,
     "preview_rows": preview_rows,

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from tribunal.functions import rules
 from tribunal.functions.columns import name
+from tribunal.session import freeze, ship_package
 
 
 class UnsupportedFormat(ValueError):
@@ -35,18 +41,97 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     All cells are read as text, the usual tokens for "missing" become null and
     the narrowest type that fits every present cell is found in one aggregate.
     A line with an odd number of quotes may end inside a cell; such input is
-    parsed by one task per file.
+    first cut into records by ``csv_records``.
     """
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"')))
-    broken = bool(spark.read.text(path).agg(F.bool_or(quotes % 2 == 1)).first()[0])
+    odd = _quotes(F.col("value")) % 2 == 1
+    if spark.read.text(path).agg(F.bool_or(odd)).first()[0]:
+        return infer_types(_parsed(csv_records(spark, path)))
     raw = spark.read.csv(
-        path, header=True, inferSchema=False, multiLine=broken, escape='"',
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        path, header=True, inferSchema=False, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if not raw.columns:
         raise UnsupportedFormat("The file has no columns.")
     return infer_types(raw)
 
 
+def _quotes(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit('"')))
+
+
+def _with_parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add to lines (file, block, at, value, odd), which come in order, what is known inside their block of the file.
+
+    ``inside`` is the parity of the quotes before a line, ``even`` and ``odd``
+    the last line up to it with parity 0 and 1.
+    """
+    where, parity, last = None, 0, [None, None]
+    for batch in batches:
+        files, blocks, at, _, odd = (c.to_pylist() if n != 3 else None for n, c in enumerate(batch.columns))
+        inside, even_at, odd_at = [], [], []
+        for f, b, a, o in zip(files, blocks, at, odd):
+            if (f, b) != where:
+                where, parity, last = (f, b), 0, [None, None]
+            last[parity] = a
+            inside.append(parity)
+            even_at.append(last[0])
+            odd_at.append(last[1])
+            parity ^= o
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(inside, pa.int32()), pa.array(even_at, pa.int64()), pa.array(odd_at, pa.int64())],
+            [*batch.schema.names, "inside", "last_even", "last_odd"])
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, at, text): the records of CSV files with line breaks inside cells, read by as many tasks as any text.
+
+    A line break ends a record where the quotes before it are even.  Every task
+    follows the parity inside its blocks of the files; the parities of whole
+    blocks, one row each, are summed up in file order and tell where a block
+    starts.  Only the lines of records with several lines are brought together.
+    A quote that is never closed is an error.
+    """
+    ship_package(spark)
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value", (_quotes(F.col("value")) % 2).cast("int").alias("odd"))
+    known = lines.mapInArrow(
+        _with_parity, "file string, block long, at long, value string, odd int, inside int, last_even long, last_odd long")
+    ends = freeze(known.groupBy("file", "block").agg(
+        F.sum("odd").alias("odd"), F.max("last_even").alias("last_even"), F.max("last_odd").alias("last_odd")))
+    if ends.groupBy("file").agg((F.sum("odd") % 2).alias("left")).filter("left = 1").limit(1).count():
+        raise UnsupportedFormat("A quote in the file is never closed.")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    opens = ends.withColumn("parity", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).withColumn(
+        "last", F.when(F.col("parity") == 0, F.col("last_even")).otherwise(F.col("last_odd"))).select(
+        F.col("file").alias("_file"), F.col("block").alias("_block"), "parity",
+        F.last("last", ignorenulls=True).over(before).alias("carried"))
+    placed = known.join(opens, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    own = F.when(F.col("parity") == 0, F.col("last_even")).otherwise(F.col("last_odd"))
+    placed = placed.withColumn("start", (F.col("inside") + F.col("parity")) % 2 == 0).withColumn("owner", F.coalesce(own, "carried"))
+    single = placed.filter(F.col("start") & (F.col("odd") == 0)).select("file", "block", "at", F.col("value").alias("text"))
+    several = placed.filter(~(F.col("start") & (F.col("odd") == 0))).groupBy("file", F.col("owner").alias("at")).agg(
+        F.min("block").alias("block"), F.array_sort(F.collect_list(F.struct("block", F.col("at").alias("line"), "value"))).alias("_lines"))
+    joined = several.select("file", "block", "at", F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("text"))
+    text = F.regexp_replace("text", "\r$", "")
+    return single.unionByName(joined).withColumn("text", text).filter("text <> ''")
+
+
+def _parsed(records: DataFrame) -> DataFrame:
+    """The cells of records as text columns, named by the first record of each file."""
+    heads = freeze(records.groupBy("file").agg(F.min(F.struct("block", "at", "text")).alias("head")))
+    first = heads.orderBy("file").first()
+    if first is None:
+        raise UnsupportedFormat("The file has no columns.")
+    titles = next(csv.reader(io.StringIO(first["head"]["text"])))
+    titles = [c or f"_c{i}" for i, c in enumerate(titles)]
+    titles = [c + str(i) if titles.count(c) > 1 else c for i, c in enumerate(titles)]
+    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(titles))])
+    taken = heads.select("file", F.col("head.block").alias("block"), F.col("head.at").alias("at"))
+    cells = F.from_csv("text", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "),
+                       {"escape": '"', "multiLine": "true"})
+    return records.join(taken, ["file", "block", "at"], "left_anti").select(cells.alias("c")).select(
+        *[F.col(f"c._{i}").alias(c) for i, c in enumerate(titles)])
+
+
 def infer_types(raw: DataFrame, missing: list[str] = rules.CSV_MISSING) -> DataFrame:
     """Turn text columns into bigint, double or boolean where every cell fits."""
     texts = {c: F.when(name(c).isin(missing), F.lit(None)).otherwise(name(c)) for c in raw.columns}
