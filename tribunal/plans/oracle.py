@@ -556,6 +556,7 @@ ORACLE: dict[str, str] = {
         select p_partkey, model_name, case when model_name = '{rules.RIDGE}' then round(my + w * (x - mx), 5) end as ridge, true as same
         from v, mean, w, (select unnest(['{rules.RIDGE}', '{rules.TREE}', '{rules.FOREST}', '{rules.BOOSTING}', '{rules.KNN}']) as model_name)""",
     "csv_line_breaks": """select doc_id, source, sha256(replace(text, chr(13), '')) "text" from documents""",
+    "json_columns": "select o_custkey, o_totalprice, o_orderstatus from orders",
     "tree_shap_adds_up": "select p_partkey row_id, true adds_up from part",
     "sorted_probabilities": _SHARES + """, l as (select id, 'poor' as label, round(p0, 4) as probability from votes
         union all select id, 'good', round(p1, 4) from votes)

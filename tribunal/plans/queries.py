@@ -58,6 +58,18 @@ def dataset_profile(spark, folder):
     return P.dataset_profile(T.table(spark, folder, "lineitem"))
 
 
+def json_columns(spark, folder):
+    """Orders as a JSON object of columns, each an object from row key to cell, read back as rows."""
+    orders = T.table(spark, folder, "orders").select(
+        F.col("o_orderkey").cast("string").alias("key"), "o_custkey", "o_totalprice", "o_orderstatus")
+    columns = ["o_custkey", "o_totalprice", "o_orderstatus"]
+    text = orders.agg(*[F.to_json(F.map_from_entries(F.collect_list(F.struct("key", c)))).alias(c) for c in columns]).select(
+        F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), c) for c in columns]), F.lit("}")).alias("value"))
+    path = new_path(spark, "orders") + ".json"
+    text.write.text(path)
+    return read_table(spark, path)
+
+
 def preview_rows(spark, folder):
     return P.preview(T.part_price(spark, folder), ["p_partkey"])
 
@@ -617,6 +629,7 @@ def analyze_and_score(spark, folder):
 QUERIES: dict[str, Query] = {
     "csv_roundtrip": csv_roundtrip,
     "csv_line_breaks": csv_line_breaks,
+    "json_columns": json_columns,
     "json_roundtrip": json_roundtrip,
     "dataset_profile": dataset_profile,
     "preview_rows": preview_rows,

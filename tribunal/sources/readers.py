@@ -181,13 +181,11 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
         parts = F.when(F.trim("value").startswith("{"), F.array("value")).otherwise(
             F.from_json("value", T.ArrayType(T.StringType())))
         objects = file.select(F.explode(parts).alias("value"))
+    if objects.limit(2).count() == 1 and objects.select(_keyed_alike(F.col("value"))).first()[0]:
+        return _from_columns(objects)
     df = spark.read.json(path, multiLine=not lines)
     if "_corrupt_record" in df.columns:
         raise UnsupportedFormat("The JSON text cannot be parsed.")
-    kinds = [f.dataType for f in df.schema.fields]
-    if kinds and all(isinstance(k, T.StructType) for k in kinds) and len({frozenset(k.names) for k in kinds}) == 1 \
-            and len(objects.limit(2).collect()) == 1:
-        return _from_columns(df)
     return df.select(*[name(c) for c in _met_order(objects, df.columns)])
 
 
@@ -201,34 +199,29 @@ def _met_order(objects: DataFrame, columns: list[str]) -> list[str]:
     return sorted(columns, key=lambda c: (met.get(c, late), c))
 
 
-def _from_columns(df: DataFrame) -> DataFrame:
-    """Columns written as ``{"a": {"0": 1, "1": 2}}`` back into rows.
+def _keyed_alike(value: Column) -> Column:
+    """Whether an object's members are objects, too, that all have the same keys, one at least."""
+    members = F.map_values(F.from_json(value, "map<string,string>"))
+    keys = F.transform(members, lambda m: F.array_sort(F.json_object_keys(m)))
+    return F.coalesce((F.size(keys) > 0) & F.forall(keys, lambda k: (F.size(k) > 0) & (k == F.get(keys, F.lit(0)))), F.lit(False))
 
-    Each column becomes (key, value) rows; one grouping puts the cells of a key
-    side by side.
-    """
-    types = {f.name: _common_type(f.dataType) for f in df.schema.fields}
-    cells = []
-    for f in df.schema.fields:
-        entries = [
-            F.struct(F.lit(g.name).alias("key"), name(f.name)[g.name].cast(types[f.name]).alias("value"))
-            for g in f.dataType.fields
-        ]
-        part = df.select(F.inline(F.array(*entries)))
-        cells.append(part.select("key", *[
-            (F.col("value") if c == f.name else F.lit(None).cast(types[c])).alias(c) for c in types
-        ]))
-    stacked = cells[0]
-    for part in cells[1:]:
-        stacked = stacked.unionByName(part)
-    rows = stacked.groupBy("key").agg(*[F.max(name(c)).alias(c) for c in types])
-    return rows.orderBy(F.col("key").try_cast("bigint"), "key").drop("key")
 
+def _from_columns(objects: DataFrame) -> DataFrame:
+    """Columns written as ``{"a": {"0": 1, "1": 2}}`` back into rows, in the order of their keys.
 
-def _common_type(struct: T.StructType) -> T.DataType:
-    kinds = {type(f.dataType) for f in struct.fields}
-    if len(kinds) == 1:
-        return struct.fields[0].dataType
-    if kinds <= {T.LongType, T.DoubleType}:
-        return T.DoubleType()
-    return T.StringType()
+    Row keys are data: the plan does not depend on how many there are.  A
+    column's type is the narrowest into which all its cells can be read.
+    """
+    columns = objects.select(F.posexplode(F.from_json("value", "map<string,string>")).alias("place", "column", "body"))
+    held = {kind: F.from_json("body", f"map<string,{kind}>") for kind in ("string", "bigint", "double", "boolean")}
+    present = {kind: F.size(F.filter(F.map_values(m), lambda v: v.isNotNull())) for kind, m in held.items()}
+    # A text of digits is a text: only bare numbers can be read as numbers.
+    kind = F.lit("string")
+    for narrow in ("boolean", "double", "bigint"):
+        kind = F.when(present[narrow] == present["string"], narrow).otherwise(kind)
+    kind = F.when(present["string"] == 0, "double").otherwise(kind)
+    types = columns.select("place", "column", kind.alias("kind")).orderBy("place").collect()
+    cells = columns.select("column", F.explode(held["string"]).alias("key", "value"))
+    rows = cells.groupBy("key").agg(*[
+        F.max(F.when(F.col("column") == r["column"], F.col("value"))).cast(r["kind"]).alias(r["column"]) for r in types])
+    return rows.orderBy(F.col("key").try_cast("bigint"), "key").drop("key")
