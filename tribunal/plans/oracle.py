@@ -557,6 +557,10 @@ ORACLE: dict[str, str] = {
         from v, mean, w, (select unnest(['{rules.RIDGE}', '{rules.TREE}', '{rules.FOREST}', '{rules.BOOSTING}', '{rules.KNN}']) as model_name)""",
     "csv_line_breaks": """select doc_id, source, sha256(replace(text, chr(13), '')) "text" from documents""",
     "json_columns": "select o_custkey, o_totalprice, o_orderstatus from orders",
+    "first_in_file_order": """select 'row' kind, o_orderpriority || '|' || o_orderstatus || '|' || o_totalprice::varchar as value
+        from (select * from orders order by o_orderkey limit 20)
+        union all select 'value', row_number() over (order by k) || ' ' || p from (
+            select o_orderpriority p, min(o_orderkey) k from orders group by 1) order by 1, 2""",
     "tree_shap_adds_up": "select p_partkey row_id, true adds_up from part",
     "sorted_probabilities": _SHARES + """, l as (select id, 'poor' as label, round(p0, 4) as probability from votes
         union all select id, 'good', round(p1, 4) from votes)

@@ -112,6 +112,18 @@ def target_sample_values(spark, folder):
     return spark.createDataFrame([(i + 1, v) for i, v in enumerate(values)], "position long, value string")
 
 
+def first_in_file_order(spark, folder):
+    """First rows and first distinct values of a CSV copy of the orders without their key, as the files have them."""
+    path = new_path(spark, "orders") + ".csv"
+    kept = ["o_orderpriority", "o_orderstatus", "o_totalprice"]
+    T.table(spark, folder, "orders").repartitionByRange(7, "o_orderkey").sortWithinPartitions("o_orderkey").select(*kept).write.csv(path, header=True)
+    orders = read_table(spark, path, place="where")
+    rows = P.preview(orders, [], 20, "where").select(F.lit("row").alias("kind"), F.concat_ws("|", *kept).alias("value"))
+    values = detect.sample_values(orders, "o_orderpriority", "where")
+    found = spark.createDataFrame([("value", f"{i + 1} {v}") for i, v in enumerate(values)], "kind string, value string")
+    return rows.unionByName(found)
+
+
 def class_distribution(spark, folder):
     return detect.class_distribution(_lineitem(spark, folder), "l_returnflag")
 
@@ -639,6 +651,7 @@ QUERIES: dict[str, Query] = {
     "separate_target": separate_target,
     "target_profile": target_profile,
     "target_sample_values": target_sample_values,
+    "first_in_file_order": first_in_file_order,
     "detect_binary_numeric": _detect(T.doc_quality, "quality"),
     "detect_string": _detect(_lineitem, "l_returnflag"),
     "detect_lowcard": _detect(_lineitem, "l_linenumber"),

@@ -18,24 +18,39 @@ class UnsupportedFormat(ValueError):
     """The file is in a format that cannot be read."""
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read ``.csv``, ``.json`` or ``.parquet``; anything else is tried as CSV."""
+def read_table(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
+    """Read ``.csv``, ``.json`` or ``.parquet``; anything else is tried as CSV.
+
+    ``place`` names a column to add that sorts like the rows in the files:
+    file, block of the file and place in it.  It needs no shuffle, and gives
+    tables without a key an order of appearance.  JSON must be one record per
+    line for it.
+    """
     lowered = path.lower().rstrip("/")
     if lowered.endswith(".json"):
-        return read_json(spark, path)
+        return read_json(spark, path, place)
     if lowered.endswith(".parquet"):
-        return spark.read.parquet(path)
+        df = spark.read.parquet(path)
+        return df.withColumn(place, F.struct(
+            F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("block"),
+            F.col("_metadata.row_index").alias("at"))) if place else df
     if lowered.endswith((".xlsx", ".xls")):
         raise UnsupportedFormat("Spark has no spreadsheet reader. Save the sheet as CSV.")
     try:
-        return read_csv(spark, path)
+        return read_csv(spark, path, place)
     except UnsupportedFormat:
         raise
     except Exception as error:
         raise UnsupportedFormat("Unsupported file format. Use CSV, JSON or Parquet.") from error
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def _file_place() -> Column:
+    """Sorts rows of text formats like the files: rows of a block come in order, so their running ids do, too."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("at"))
+
+
+def read_csv(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
     """CSV with a header.
 
     All cells are read as text, the usual tokens for "missing" become null and
@@ -45,12 +60,12 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     odd = _quotes(F.col("value")) % 2 == 1
     if spark.read.text(path).agg(F.bool_or(odd)).first()[0]:
-        return infer_types(_parsed(csv_records(spark, path)))
+        return infer_types(_parsed(csv_records(spark, path), place), place=place)
     raw = spark.read.csv(
         path, header=True, inferSchema=False, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if not raw.columns:
         raise UnsupportedFormat("The file has no columns.")
-    return infer_types(raw)
+    return infer_types(raw.withColumn(place, _file_place()) if place else raw, place=place)
 
 
 def _quotes(text: Column) -> Column:
@@ -115,7 +130,7 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     return single.unionByName(joined).withColumn("text", text).filter("text <> ''")
 
 
-def _parsed(records: DataFrame) -> DataFrame:
+def _parsed(records: DataFrame, place: str | None = None) -> DataFrame:
     """The cells of records as text columns, named by the first record of each file."""
     heads = freeze(records.groupBy("file").agg(F.min(F.struct("block", "at", "text")).alias("head")))
     first = heads.orderBy("file").first()
@@ -128,13 +143,14 @@ def _parsed(records: DataFrame) -> DataFrame:
     taken = heads.select("file", F.col("head.block").alias("block"), F.col("head.at").alias("at"))
     cells = F.from_csv("text", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "),
                        {"escape": '"', "multiLine": "true"})
-    return records.join(taken, ["file", "block", "at"], "left_anti").select(cells.alias("c")).select(
-        *[F.col(f"c._{i}").alias(c) for i, c in enumerate(titles)])
+    where = [F.struct("file", "block", "at").alias(place)] if place else []
+    return records.join(taken, ["file", "block", "at"], "left_anti").select(cells.alias("c"), *where).select(
+        *[F.col(f"c._{i}").alias(c) for i, c in enumerate(titles)], *([name(place)] if place else []))
 
 
-def infer_types(raw: DataFrame, missing: list[str] = rules.CSV_MISSING) -> DataFrame:
-    """Turn text columns into bigint, double or boolean where every cell fits."""
-    texts = {c: F.when(name(c).isin(missing), F.lit(None)).otherwise(name(c)) for c in raw.columns}
+def infer_types(raw: DataFrame, missing: list[str] = rules.CSV_MISSING, place: str | None = None) -> DataFrame:
+    """Turn text columns into bigint, double or boolean where every cell fits; the column ``place`` stays."""
+    texts = {c: F.when(name(c).isin(missing), F.lit(None)).otherwise(name(c)) for c in raw.columns if c != place}
     checks = []
     for i, text in enumerate(texts.values()):
         trimmed = F.trim(text)
@@ -149,7 +165,7 @@ def infer_types(raw: DataFrame, missing: list[str] = rules.CSV_MISSING) -> DataF
     for i, (c, text) in enumerate(texts.items()):
         present = found[f"n{i}"]
         columns.append(_cast(text, present, found[f"i{i}"], found[f"d{i}"], found[f"b{i}"]).alias(c))
-    return raw.select(*columns)
+    return raw.select(*columns, *([name(place)] if place else []))
 
 
 def _cast(text: Column, present: int, integers: int, doubles: int, booleans: int) -> Column:
@@ -164,7 +180,7 @@ def _cast(text: Column, present: int, integers: int, doubles: int, booleans: int
     return text
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
+def read_json(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
     """An array of records, one record per line, or columns of row keys.
 
     Columns come in the order in which the records, one after the other, name
@@ -181,12 +197,14 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
         parts = F.when(F.trim("value").startswith("{"), F.array("value")).otherwise(
             F.from_json("value", T.ArrayType(T.StringType())))
         objects = file.select(F.explode(parts).alias("value"))
-    if objects.limit(2).count() == 1 and objects.select(_keyed_alike(F.col("value"))).first()[0]:
+    if place and not lines:
+        raise UnsupportedFormat("The order of rows needs one JSON record per line.")
+    if not place and objects.limit(2).count() == 1 and objects.select(_keyed_alike(F.col("value"))).first()[0]:
         return _from_columns(objects)
     df = spark.read.json(path, multiLine=not lines)
     if "_corrupt_record" in df.columns:
         raise UnsupportedFormat("The JSON text cannot be parsed.")
-    return df.select(*[name(c) for c in _met_order(objects, df.columns)])
+    return df.select(*[name(c) for c in _met_order(objects, df.columns)], *([_file_place().alias(place)] if place else []))
 
 
 def _met_order(objects: DataFrame, columns: list[str]) -> list[str]:
