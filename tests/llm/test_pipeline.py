@@ -18,7 +18,7 @@ def test_shape():
     assert len(P.STAGES) == 5 and P.ORACLE_SQL is None
     assert all(list(inspect.signature(f).parameters) == ["spark", "docs", "sf_dir"] for _, f in P.STAGES)
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 14)) and "pipeline" in E.queries()
 
 
 def test_stages_one_by_one(spark, folder, tmp_path):
