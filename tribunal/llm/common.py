@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tribunal.session import new_path, ship_package
@@ -14,6 +15,33 @@ from tribunal.session import new_path, ship_package
 ROWS_OUT = 20_000
 
 
+#: Schemes of Spark's file systems, and what Arrow calls them.
+_STORES = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs"}
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, resolved once by Spark's own settings, so that Spark and the tasks mean the same.
+
+    A plain path belongs to the cluster's default file system.  One that the
+    tasks cannot reach through Arrow is refused.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    scheme = path.toUri().getScheme()
+    if scheme is None:
+        path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
+        scheme = path.toUri().getScheme()
+    if scheme not in _STORES:
+        raise ValueError(f"Files cannot be written below {folder}: no file system for {scheme}.")
+    whole = path.toString()
+    return "file://" + path.toUri().getPath() if scheme == "file" else whole
+
+
+def store_of(folder: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a qualified folder, and the folder's path in it; a plain path is local."""
+    scheme, _, rest = folder.partition("://")
+    return pafs.FileSystem.from_uri(f"{_STORES[scheme]}://{rest}" if rest else f"file://{folder}")
+
+
 def table(spark: SparkSession, folder: str, title: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{title}.parquet")
 

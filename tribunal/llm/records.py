@@ -17,10 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tribunal.llm.common import prepare_workers, slices, text_bytes, total, written
+from tribunal.llm.common import prepare_workers, qualified, slices, store_of, text_bytes, total, written
 from tribunal.llm.tokens import encoder
 from tribunal.session import new_path
 
@@ -147,7 +146,7 @@ def write_records(
     """
     prepare_workers(docs)
     spark = docs.sparkSession
-    folder = folder or new_path(spark, "records")
+    folder = qualified(spark, folder or new_path(spark, "records"))
     rows = docs.select(F.col(key).cast("long").alias("_llm_key"), F.col(text).alias("_llm_text"))
     n_files = max(1, -(-total(rows, F.octet_length("_llm_text") + F.lit(4)) // file_bytes))
     n_files = max(n_files, spark.sparkContext.defaultParallelism)
@@ -158,7 +157,7 @@ def write_records(
         import uuid
 
         enc = encoder(tokenizer)
-        store, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, base = store_of(folder)
         out, path, sink, at, first = [], None, None, 0, None
         for part in parts:
             keys, numbers = part.column(0).to_pylist(), part.column(2).to_pylist()
@@ -203,7 +202,7 @@ def read_records(spark: SparkSession, files: RecordFiles) -> DataFrame:
     closed = files.index.where("file_bytes is not null").select("file", "file_bytes")
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, base = store_of(folder)
         kinds = (pa.string(), *[pa.int64()] * 5)
         titles = ("file", "doc_id", "place", "before", "n_tokens", "ids_crc32")
         for part in parts:
@@ -246,7 +245,7 @@ def with_starts(records: DataFrame, files: RecordFiles) -> DataFrame:
 
 def read_record(folder: str, file: str, offset: int) -> tuple[int | None, np.ndarray]:
     """One record by its index row: the access of a shuffled reader."""
-    store, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    store, base = store_of(folder)
     with store.open_input_file(f"{base}/{file}") as stream:
         stream.seek(offset)
         return deserialize(_body(stream, stream.read(12), offset))

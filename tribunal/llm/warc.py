@@ -17,10 +17,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tribunal.llm.common import prepare_workers
+from tribunal.llm.common import prepare_workers, qualified, store_of
 from tribunal.session import new_path
 
 _MANIFEST = "file string, bytes long, records long"
@@ -107,10 +106,10 @@ def write_archives(
     """
     prepare_workers(chunks)
     spark = chunks.sparkSession
-    folder = folder or new_path(spark, "warc")
+    folder = qualified(spark, folder or new_path(spark, "warc"))
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, base = store_of(folder)
         sink, path, at, n, files = None, None, 0, 0, []
         member, digest, due = None, None, 0
         for part in parts:
@@ -215,7 +214,7 @@ def read_archives(
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], titles)
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, base = store_of(folder)
         for part in parts:
             for path in part.column(0).to_pylist():
                 rows, digest, n = [], None, 0
