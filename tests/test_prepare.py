@@ -48,7 +48,7 @@ def test_missing_ratio_exactly_half_is_kept(spark):
                                "half double, most double, y int")
     p = R.fit_preparation(df, "y", rules.REGRESSION)
     assert p.features == ["half"]
-    assert [s["dropped"] for s in p.steps if s["step"] == "Drop High-Missing Columns"] == [["most"]]
+    assert [s["dropped"] for s in p.steps if s["step"] == "Mostly Missing Columns"] == [["most"]]
 
 
 @pytest.mark.parametrize("n,kept", [(20, True), (21, False)])
