@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -20,6 +20,7 @@ from tribunal.functions.columns import (
     long_form, name, numeric_value, present_value,
 )
 from tribunal.operators.ordering import medians, sorted_row_number
+from tribunal.operators.refit import GrowthParams, growth_params, scaled_as_grown
 
 # An estimate above this bound proves more than MAX_CATEGORIES distinct values:
 # the sketch has 512 registers and n values fill at most n of them, so its
@@ -41,6 +42,7 @@ class NumericParams:
 class CategoryParams:
     categories: list[str]
     mode: str
+    n_values: int | None = None     # distinct values without the one that stands for missing cells
 
 
 @dataclass
@@ -56,27 +58,49 @@ class Preparation:
     original: list[str]
     n_rows: int
     steps: list[dict] = field(default_factory=list)
+    growth: dict[str, GrowthParams] = field(default_factory=dict)
 
     def encoded(self, feature: str, unseen: str = "keep") -> Column:
         """Imputed and scaled number, or category code, as double.
 
         ``unseen='insert'`` gives an unknown category the code it would have
         had, were it known: the number of known categories below it.
+        ``'refit'`` prepares every row as if it were the last row of the
+        training table: median, mean and deviation include it, and an unknown
+        category beyond the category limit drops the column, which is then 0.
         """
         dtype = self.types[feature]
         if feature in self.numeric:
             p = self.numeric[feature]
+            if unseen == "refit":
+                if feature not in self.growth:
+                    raise ValueError(f"Scoring with unseen='refit' needs with_growth: nothing is known about '{feature}'.")
+                return scaled_as_grown(numeric_value(feature, dtype), p, self.growth[feature])
             filled = F.coalesce(numeric_value(feature, dtype), F.lit(p.median))
             return (filled - F.lit(p.mean)) / F.lit(p.std or 1.0)
         categories = self.categorical[feature].categories
         text = category_text(feature, dtype)
         code = category_code(text, categories)
-        if unseen == "insert":
+        if unseen in ("insert", "refit"):
             filled = F.coalesce(text, F.lit(rules.MISSING_CATEGORY))
             below = sum((F.when(filled > F.lit(c), 1).otherwise(0) for c in categories), F.lit(0))
-            code = F.when(code < 0, below).otherwise(code)
+            beyond = unseen == "refit" and self.categorical[feature].n_values == rules.MAX_CATEGORIES
+            code = F.when(self._unknown(feature, text), 0 if beyond else below).otherwise(code)
         return code.cast("double")
 
+    def _unknown(self, feature: str, text: Column) -> Column:
+        """Whether a category is none of the training values.
+
+        Missing cells share their code with a text that reads like them, but
+        that text is a value of its own when values are counted.
+        """
+        p = self.categorical[feature]
+        filled = F.coalesce(text, F.lit(rules.MISSING_CATEGORY))
+        unknown = category_code(text, p.categories) < 0
+        if p.n_values == rules.MAX_CATEGORIES and len(p.categories) > p.n_values:
+            unknown = unknown | (text.isNotNull() & (filled == rules.MISSING_CATEGORY))
+        return unknown
+
     def apply(self, df: DataFrame, keep: list[str] = (), unseen: str = "keep") -> DataFrame:
         """Project ``keep`` and every prepared feature."""
         return df.select(
@@ -268,7 +292,7 @@ def fit_preparation(
         if sum(seen.values()) < n:
             known.add(rules.MISSING_CATEGORY)
         mode = min(seen, key=lambda v: (-seen[v], v)) if seen else rules.MISSING_CATEGORY
-        categorical[c] = CategoryParams(sorted(known), mode)
+        categorical[c] = CategoryParams(sorted(known), mode, len(seen))
 
     imputed = {c: p.median for c, p in numeric.items() if p.missing}
     if imputed:
@@ -285,6 +309,11 @@ def fit_preparation(
         numeric, categorical, types, original, n, steps)
 
 
+def with_growth(df: DataFrame, preparation: Preparation) -> Preparation:
+    """The preparation with what ``unseen='refit'`` needs; ``df`` is the table it was fitted on."""
+    return replace(preparation, growth=growth_params(df, preparation))
+
+
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Fill missing numbers with the exact column median."""
     types = {c: df.schema[c].dataType for c in columns}

@@ -17,7 +17,7 @@ from tribunal.operators.mutual_info import (
     binned_mutual_info, neighbour_mutual_info, neighbour_mutual_info_regression,
 )
 from tribunal.operators.prepare import (
-    Preparation, cast_target, decision_log, encode_target, fit_preparation,
+    Preparation, cast_target, decision_log, encode_target, fit_preparation, with_growth,
 )
 from tribunal.operators.score import ModelRun, Scorer, class_list
 from tribunal.operators.training import (
@@ -130,14 +130,16 @@ def mutual_information(
 def analyze(
     df: DataFrame, target: str, features: list[str] | None = None, key: str | None = None,
     profile: str | Profile = "full", keep_all: bool = False, estimator: str = "binned",
-    sample_rows: int | None = None, clock: Callable[[], float] = time.perf_counter,
+    sample_rows: int | None = None, clock: Callable[[], float] = time.perf_counter, growth: bool = False,
 ) -> Analysis:
     """Detect, prepare, select, train, judge and explain.
 
     ``key`` names a column that identifies rows; it is never a feature unless
     listed in ``features``.  ``profile`` sizes the tree ensembles, ``keep_all``
     refits every candidate rather than the winner only, ``sample_rows`` limits
-    the rows a Shapley explanation reads (all by default).
+    the rows a Shapley explanation reads (all by default).  ``growth`` reads
+    the table once more, so that the scorer can also prepare each new row as if
+    it were part of the table (``unseen="refit"``).
     """
     spark = df.sparkSession
     size = profile if isinstance(profile, Profile) else PROFILES[profile]
@@ -155,6 +157,8 @@ def analyze(
         log.append(("validation", [{"step": "Row Count", "rule": f"Fewer than {rules.MIN_ROWS} rows have a target.",
                                     "rows": n_rows}]))
     preparation = fit_preparation(chosen, target, problem_type, exclude)
+    if growth:
+        preparation = with_growth(chosen, preparation)
     if row_id in preparation.features:
         chosen = chosen.withColumn("_row_id", name(row_id))
         row_id = "_row_id"

@@ -19,6 +19,13 @@ def doc_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_chars", odd.alias("odd_share"), "lang", "source", "quality")
 
 
+def doc_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents, some without a number of characters or a source."""
+    key = F.col("doc_id")
+    return doc_quality(spark, folder).withColumns({
+        "n_chars": F.when(key % 3 != 0, F.col("n_chars")), "source": F.when(key % 7 != 0, F.col("source"))})
+
+
 def part_price(spark: SparkSession, folder: str) -> DataFrame:
     """Parts; target ``p_retailprice``."""
     return table(spark, folder, "part")

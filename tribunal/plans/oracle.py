@@ -353,13 +353,17 @@ _BLANKED = """blanked as (
     from documents),
   defaults as (select median(n_chars) as mn, median(odd_share) as mo,
                       (select lang from docs group by lang order by count(*) desc, lang limit 1) as ml,
-                      (select source from docs group by source order by count(*) desc, source limit 1) as ms from docs),
+                      (select source from docs where source is not null group by source order by count(*) desc, source limit 1) as ms from docs),
   filled as (
     select doc_id, case when kind in (0, 1) then mn when kind = 2 then 0 else raw_n end::double as n_chars,
            case when kind = 3 then mo else odd end as odd_share, ml as lang,
            case when kind = 1 then ms when kind = 4 then 'src100' else raw_source end as source
     from blanked, defaults)"""
 
+_GAPS = """docs as (
+    select doc_id, case when doc_id % 3 <> 0 then n_chars end as n_chars, odd_share, lang,
+           case when doc_id % 7 <> 0 then source end as source, quality from whole)"""
+
 _KFOLD = "(('0x' || substr(md5(p_partkey::varchar || '#42'), 1, 15))::bigint % 5)::int"
 
 
@@ -522,6 +526,18 @@ ORACLE: dict[str, str] = {
     "score_encode_unseen": f"""with {_DOCS}, {_BLANKED}, known as (select distinct source as c from docs)
         select doc_id, case when source in (select c from known) then (select count(*) from known where c < source) else -1 end as code_keep,
                (select count(*) from known where c < source) as code_insert from filled""",
+    "score_refit": f"""with {_DOCS.replace('docs as', 'whole as')}, {_GAPS}, {_BLANKED},
+        grown as (select f.doc_id as id, d.n_chars::double as n_chars, d.odd_share, coalesce(d.source, 'nan') as code, d.source
+                  from filled f, docs d union all select doc_id, n_chars, odd_share, source, source from filled),
+        mid as (select id, median(n_chars) as mn, median(odd_share) as mo, count(distinct source) as n_source from grown group by id),
+        fit as (select id, avg(coalesce(n_chars, mn)) as an, stddev_pop(coalesce(n_chars, mn)) as sn,
+                       avg(coalesce(odd_share, mo)) as ao, stddev_pop(coalesce(odd_share, mo)) as so
+                from grown join mid using (id) group by id),
+        known as (select distinct coalesce(source, 'nan') as c from docs)
+        select f.doc_id, round((n_chars - an) / sn, 6) as n_chars, round((odd_share - ao) / so, 6) as odd_share,
+               (select count(distinct lang) from docs where lang < f.lang)::double as lang,
+               case when n_source > {rules.MAX_CATEGORIES} then 0 else (select count(*) from known where c < f.source) end::double as source
+        from filled f join mid on mid.id = f.doc_id join fit on fit.id = f.doc_id""",
     "score_align": "select p_partkey, p_size::double as p_size, 0.0::double as not_there from part",
     "score_linear": _RIDGE + " select id as p_partkey, round(w0 + wa * a + wb * b, 5) as prediction from v, model",
     "class_probabilities_knn": _SHARES + """ select id as doc_id, greatest(p0, p1) as confidence,

@@ -511,6 +511,16 @@ def score_encode_unseen(spark, folder):
     return kept.join(inserted, "doc_id")
 
 
+def score_refit(spark, folder):
+    """Every document prepared as if it were one more row of the labelled documents, which have missing cells."""
+    train = T.doc_gaps(spark, folder)
+    preparation = R.with_growth(train, R.fit_preparation(train, "quality", rules.CLASSIFICATION, ["doc_id"]))
+    filled = S.fill_missing_inputs(_blanked_docs(spark, folder), preparation)
+    prepared = S.encode_inputs(filled, preparation, "refit")
+    return S.align_features(prepared, ["n_chars", "odd_share", "lang", "source"], ["doc_id"]).select(
+        "doc_id", F.round("n_chars", 6).alias("n_chars"), F.round("odd_share", 6).alias("odd_share"), "lang", "source")
+
+
 def softmax_roles(spark, folder):
     """Whether the class probabilities of boosted trees for every turn's role add up to 1, and the guess is the likeliest."""
     prepared, codes = prepared_rows(
@@ -709,6 +719,7 @@ QUERIES: dict[str, Query] = {
     "native_importance": native_importance,
     "score_fill_defaults": score_fill_defaults,
     "score_encode_unseen": score_encode_unseen,
+    "score_refit": score_refit,
     "score_align": score_align,
     "softmax_roles": softmax_roles,
     "score_linear": score_linear,

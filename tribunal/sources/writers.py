@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tribunal.operators.boosting import SoftmaxModel
 from tribunal.operators.prepare import CategoryParams, NumericParams, Preparation
+from tribunal.operators.refit import GrowthParams
 from tribunal.operators.score import ModelRun, Scorer
 from tribunal.operators.verdict import rule_catalogue
 from tribunal.plans.analysis import Analysis
@@ -65,7 +66,8 @@ def save_scorer(scorer: Scorer, spark: SparkSession, folder: str) -> None:
         "model_class": None if scorer.model is None else type(scorer.model).__name__,
         "neighbours": scorer.train_rows is not None, "classes": scorer.n_classes, "coded": scorer.codes is not None,
         "numeric": {f: [v.median, v.mean, v.std, v.missing] for f, v in p.numeric.items()},
-        "categorical": {f: [v.categories, v.mode] for f, v in p.categorical.items()},
+        "categorical": {f: [v.categories, v.mode, v.n_values] for f, v in p.categorical.items()},
+        "growth": {f: [v.present, v.mean, v.variance, v.least, v.greatest, v.middle] for f, v in p.growth.items()},
         "types": {f: t.json() for f, t in p.types.items()},
     }
     spark.createDataFrame([(json.dumps(facts, ensure_ascii=False),)], "value string").write.mode("overwrite").text(
@@ -97,7 +99,8 @@ def load_scorer(spark: SparkSession, folder: str) -> Scorer:
         facts["target"], facts["problem_type"], facts["features"],
         {f: NumericParams(*v) for f, v in facts["numeric"].items()},
         {f: CategoryParams(*v) for f, v in facts["categorical"].items()},
-        types, facts["original"], facts["n_rows"], facts["steps"])
+        types, facts["original"], facts["n_rows"], facts["steps"],
+        {f: GrowthParams(*v[:-1], tuple(v[-1])) for f, v in facts.get("growth", {}).items()})
     model = _load_model(spark, facts["model_class"], f"{folder}/model")
     rows = spark.read.parquet(f"{folder}/rows") if facts["neighbours"] else None
     return Scorer(facts["model_name"], facts["problem_type"], preparation, facts["selected"], facts["labels"],
