@@ -15,26 +15,31 @@ from pyspark.ml.regression import (
 
 from tribunal.functions import rules
 from tribunal.operators.boosting import SoftmaxBoosting
+from tribunal.operators.deep_forest import DeepForest
+
+#: Depth to which the upper part of a forest without a limit is grown.
+UPPER_DEPTH = 12
 
 
 @dataclass(frozen=True)
 class Profile:
     """Size knobs of the tree ensembles.
 
-    Spark trees split on histogram bins and stop at depth 30, so an unlimited
-    forest is approximated by ``forest_depth``.
+    ``forest_depth=None`` grows forests until nothing is left to split; such a
+    model can get as large as the table, so the default stops at a depth.
     """
 
     trees: int = 100
     rounds: int = 100
     tree_depth: int = 8
-    forest_depth: int = 12
+    forest_depth: int | None = 12
     boosting_depth: int = 3
     bins: int = 128
 
 
 PROFILES = {
     "full": Profile(),
+    "deep": Profile(forest_depth=None),
     "fast": Profile(trees=10, rounds=10, tree_depth=8, forest_depth=8, bins=64),
 }
 
@@ -71,6 +76,12 @@ def logistic(facts: TrainingFacts) -> LogisticRegression:
         regParam=1.0 / max(facts.n_rows, 1), elasticNetParam=0.0, standardization=False, maxIter=1000)
 
 
+def forest(kind: type, p: Profile, tried: str, n_classes: int = 0) -> Estimator | DeepForest:
+    """A forest of the profile's depth, or one that is finished below ``UPPER_DEPTH``."""
+    top = kind(numTrees=p.trees, maxDepth=p.forest_depth or UPPER_DEPTH, maxBins=p.bins, featureSubsetStrategy=tried, seed=rules.SEED)
+    return top if p.forest_depth else DeepForest(top, n_classes, tried, rules.SEED)
+
+
 def candidates(problem_type: str, profile: Profile) -> list[Candidate]:
     p, seed = profile, rules.SEED
     if problem_type == rules.CLASSIFICATION:
@@ -82,9 +93,7 @@ def candidates(problem_type: str, profile: Profile) -> list[Candidate]:
         builders = [
             (rules.LOGISTIC, logistic),
             (rules.TREE, lambda f: DecisionTreeClassifier(maxDepth=p.tree_depth, maxBins=p.bins, seed=seed)),
-            (rules.FOREST, lambda f: RandomForestClassifier(
-                numTrees=p.trees, maxDepth=p.forest_depth, maxBins=p.bins,
-                featureSubsetStrategy="sqrt", seed=seed)),
+            (rules.FOREST, lambda f: forest(RandomForestClassifier, p, "sqrt", f.n_classes)),
             (rules.BOOSTING, boosted),
             (rules.KNN, None),
         ]
@@ -92,9 +101,7 @@ def candidates(problem_type: str, profile: Profile) -> list[Candidate]:
         builders = [
             (rules.RIDGE, ridge),
             (rules.TREE, lambda f: DecisionTreeRegressor(maxDepth=p.tree_depth, maxBins=p.bins, seed=seed)),
-            (rules.FOREST, lambda f: RandomForestRegressor(
-                numTrees=p.trees, maxDepth=p.forest_depth, maxBins=p.bins,
-                featureSubsetStrategy="all", seed=seed)),
+            (rules.FOREST, lambda f: forest(RandomForestRegressor, p, "all")),
             (rules.BOOSTING, lambda f: GBTRegressor(
                 maxIter=p.rounds, maxDepth=p.boosting_depth, stepSize=0.1, seed=seed, maxBins=p.bins)),
             (rules.KNN, None),

@@ -577,6 +577,7 @@ ORACLE: dict[str, str] = {
         from (select * from orders order by o_orderkey limit 20)
         union all select 'value', row_number() over (order by k) || ' ' || p from (
             select o_orderpriority p, min(o_orderkey) k from orders group by 1) order by 1, 2""",
+    "deep_forest": "select 'tree' kind, range id, 0::bigint n from range(100) union all select 'part', p_partkey, 1 from part",
     "tree_shap_adds_up": "select p_partkey row_id, true adds_up from part",
     "sorted_probabilities": _SHARES + """, l as (select id, 'poor' as label, round(p0, 4) as probability from votes
         union all select id, 'good', round(p1, 4) from votes)

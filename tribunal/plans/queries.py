@@ -453,6 +453,21 @@ def _forest(spark, folder):
     return rows, forest.estimator(TrainingFacts(0, 0.0, 0)).fit(rows)
 
 
+def deep_forest(spark, folder):
+    """A forest without a depth limit, saved and loaded: undecided leaves of each tree, and whether each part scores as before."""
+    rows = _price_vectors(spark, folder).repartition(8, "row_id").sortWithinPartitions("row_id")
+    candidate = next(c for c in candidates(rules.REGRESSION, PROFILES["deep"]) if c.name == rules.FOREST)
+    model = candidate.estimator(TrainingFacts(0, 0.0, 0)).fit(rows)
+    path = new_path(spark, "deep")
+    model.write().save(path)
+    undecided = spark.read.parquet(f"{path}/data").groupBy("treeID").agg(
+        F.count_if("nodeData.leftChild < 0 and nodeData.impurity > 1e-6").alias("n"))
+    own, again = (m.copy({m.getParam("predictionCol"): f"p{i}"}) for i, m in enumerate((model, type(model).load(path))))
+    same = again.transform(own.transform(rows)).select(
+        F.lit("part").alias("kind"), F.col("row_id").cast("long").alias("id"), (F.col("p0") == F.col("p1")).cast("long").alias("n"))
+    return undecided.select(F.lit("tree").alias("kind"), F.col("treeID").cast("long").alias("id"), "n").unionByName(same)
+
+
 def tree_shap(spark, folder):
     """Shapley values of a forest for every part; they add up to its output."""
     rows, model = _forest(spark, folder)
@@ -713,6 +728,7 @@ QUERIES: dict[str, Query] = {
     "linear_shap": linear_shap,
     "coefficient_importance": coefficient_importance,
     "importance_view": importance_view,
+    "deep_forest": deep_forest,
     "tree_shap": tree_shap,
     "tree_shap_adds_up": tree_shap_adds_up,
     "tree_shap_ranking": tree_shap_ranking,
