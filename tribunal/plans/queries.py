@@ -461,7 +461,7 @@ def deep_forest(spark, folder):
     path = new_path(spark, "deep")
     model.write().save(path)
     undecided = spark.read.parquet(f"{path}/data").groupBy("treeID").agg(
-        F.count_if("nodeData.leftChild < 0 and nodeData.impurity > 1e-6").alias("n"))
+        F.count_if((F.col("nodeData.leftChild") < 0) & (F.col("nodeData.impurity") > 1e-6)).alias("n"))
     own, again = (m.copy({m.getParam("predictionCol"): f"p{i}"}) for i, m in enumerate((model, type(model).load(path))))
     same = again.transform(own.transform(rows)).select(
         F.lit("part").alias("kind"), F.col("row_id").cast("long").alias("id"), (F.col("p0") == F.col("p1")).cast("long").alias("n"))
