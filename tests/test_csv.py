@@ -1,9 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from tribunal import read_table
-from tribunal.sources.readers import UnsupportedFormat, csv_records, read_csv
+from tribunal.sources.readers import UnsupportedFormat, _whole_records, csv_records, read_csv
 
 
 def _cell(r):
@@ -57,3 +58,15 @@ def test_heads_and_short_records(spark, tmp_path):
     assert df.columns == ["id\nno", "_c1", "x2", "x3"]
     assert sorted(map(tuple, df.collect())) == [(1, "a\r\nb", 2, None), (3, None, None, "q")]
     assert csv_records(spark, str(path)).count() == 3
+
+
+def test_only_what_crosses_a_block_is_left_to_others():
+    """Records inside a block come whole, whatever their lines; a block has two loose ends at most."""
+    lines = [("f", 0, 0, "id,t", 0, 0), ("f", 0, 1, '1,"a', 1, 0), ("f", 0, 2, 'b"', 1, 0), ("f", 0, 3, '2,"c', 1, 0),
+             ("f", 9, 4, "d", 0, 1), ("f", 20, 5, 'e"', 1, 1), ("f", 20, 6, "\r", 0, 1), ("f", 20, 7, "3,g", 0, 1)]
+    names = ["file", "block", "at", "value", "odd", "parity"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in lines[a:a + 3]]) for a in (0, 3, 6)]
+    found = [tuple(r.values()) for b in _whole_records(iter(batches)) for r in b.to_pylist()]
+    assert found == [
+        ("f", 0, 0, "id,t", 0, True), ("f", 0, 1, '1,"a\nb"', 0, False), ("f", 0, 3, '2,"c', 2, False), ("f", 9, 4, "d", 1, False),
+        ("f", 20, 5, 'e"', 1, False), ("f", 20, 6, "\r", 0, False), ("f", 20, 7, "3,g", 0, True)]

@@ -60,7 +60,7 @@ def read_csv(spark: SparkSession, path: str, place: str | None = None) -> DataFr
     """
     odd = _quotes(F.col("value")) % 2 == 1
     if spark.read.text(path).agg(F.bool_or(odd)).first()[0]:
-        return infer_types(_parsed(csv_records(spark, path), place), place=place)
+        return infer_types(_parsed(_csv_records(spark, path), place), place=place)
     raw = spark.read.csv(
         path, header=True, inferSchema=False, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if not raw.columns:
@@ -72,67 +72,94 @@ def _quotes(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit('"')))
 
 
-def _with_parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add to lines (file, block, at, value, odd), which come in order, what is known inside their block of the file.
+def _in_file_order(ends: DataFrame, *sums: str) -> DataFrame:
+    """Add to blocks of files (file, block, <sums>) the sums of the blocks before them in their file, one row per block."""
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums})
+
+
+def _whole_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Put lines (file, block, at, value, odd, parity) of blocks, which come in order, together to records.
 
-    ``inside`` is the parity of the quotes before a line, ``even`` and ``odd``
-    the last line up to it with parity 0 and 1.
+    ``parity`` is that of the quotes before the block.  ``edge`` marks what may
+    go on in another block: 1 the lines that end a record from before, 2 a
+    record that has no end here; ``first`` the first record of a block.
     """
-    where, parity, last = None, 0, [None, None]
+    held, where, inside, known = [], None, 0, False      # lines of the record at hand
+    out: list[tuple] = []
+
+    def put(edge: int) -> None:
+        nonlocal held, known
+        text = held[0][1] if len(held) == 1 else "\n".join(v for _, v in held)
+        whole = not edge and text not in ("", "\r")
+        out.append((*where, held[0][0], text, edge, whole and not known))
+        held, known = [], known or whole
+
+    def batch_of() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_()))],
+            ["file", "block", "at", "text", "edge", "first"])
+
+    carried = False
     for batch in batches:
-        files, blocks, at, _, odd = (c.to_pylist() if n != 3 else None for n, c in enumerate(batch.columns))
-        inside, even_at, odd_at = [], [], []
-        for f, b, a, o in zip(files, blocks, at, odd):
+        for f, b, a, v, o, p in zip(*(c.to_pylist() for c in batch.columns)):
             if (f, b) != where:
-                where, parity, last = (f, b), 0, [None, None]
-            last[parity] = a
-            inside.append(parity)
-            even_at.append(last[0])
-            odd_at.append(last[1])
-            parity ^= o
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(inside, pa.int32()), pa.array(even_at, pa.int64()), pa.array(odd_at, pa.int64())],
-            [*batch.schema.names, "inside", "last_even", "last_odd"])
+                if held:
+                    put(1 if carried else 2)
+                where, inside, known, carried = (f, b), p, False, bool(p)
+            held.append((a, v))
+            inside ^= o
+            if not inside:
+                put(1 if carried else 0)
+                carried = False
+        if out:
+            yield batch_of()
+            out = []
+    if held:
+        put(1 if carried else 2)
+        yield batch_of()
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, at, text): the records of CSV files with line breaks inside cells, read by as many tasks as any text.
+    """(file, block, at, text): the records of CSV files with line breaks inside cells, read by as many tasks as any text."""
+    return _csv_records(spark, path).drop("first")
 
-    A line break ends a record where the quotes before it are even.  Every task
-    follows the parity inside its blocks of the files; the parities of whole
-    blocks, one row each, are summed up in file order and tell where a block
-    starts.  Only the lines of records with several lines are brought together.
+
+def _csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """``csv_records``, and whether a record may be the first of its file.
+
+    A line break ends a record where the quotes before it are even.  The
+    parities of blocks of the files, one row each, are summed up in file order
+    and tell where a block starts; every task then puts together the records
+    inside its blocks.  Only what crosses the end of a block is shuffled.
     A quote that is never closed is an error.
     """
     ship_package(spark)
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"), "value", (_quotes(F.col("value")) % 2).cast("int").alias("odd"))
-    known = lines.mapInArrow(
-        _with_parity, "file string, block long, at long, value string, odd int, inside int, last_even long, last_odd long")
-    ends = freeze(known.groupBy("file", "block").agg(
-        F.sum("odd").alias("odd"), F.max("last_even").alias("last_even"), F.max("last_odd").alias("last_odd")))
+    ends = freeze(lines.groupBy("file", "block").agg(F.sum("odd").alias("odd")))
     if ends.groupBy("file").agg((F.sum("odd") % 2).alias("left")).filter("left = 1").limit(1).count():
         raise UnsupportedFormat("A quote in the file is never closed.")
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    opens = ends.withColumn("parity", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).withColumn(
-        "last", F.when(F.col("parity") == 0, F.col("last_even")).otherwise(F.col("last_odd"))).select(
-        F.col("file").alias("_file"), F.col("block").alias("_block"), "parity",
-        F.last("last", ignorenulls=True).over(before).alias("carried"))
-    placed = known.join(opens, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
-    own = F.when(F.col("parity") == 0, F.col("last_even")).otherwise(F.col("last_odd"))
-    placed = placed.withColumn("start", (F.col("inside") + F.col("parity")) % 2 == 0).withColumn("owner", F.coalesce(own, "carried"))
-    single = placed.filter(F.col("start") & (F.col("odd") == 0)).select("file", "block", "at", F.col("value").alias("text"))
-    several = placed.filter(~(F.col("start") & (F.col("odd") == 0))).groupBy("file", F.col("owner").alias("at")).agg(
-        F.min("block").alias("block"), F.array_sort(F.collect_list(F.struct("block", F.col("at").alias("line"), "value"))).alias("_lines"))
-    joined = several.select("file", "block", "at", F.array_join(F.transform("_lines", lambda x: x["value"]), "\n").alias("text"))
+    opens = _in_file_order(ends, "odd").select(
+        F.col("file").alias("_file"), F.col("block").alias("_block"), (F.col("odd_before") % 2).cast("int").alias("parity"))
+    placed = lines.join(F.broadcast(opens), (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    known = placed.select("file", "block", "at", "value", "odd", "parity").mapInArrow(
+        _whole_records, "file string, block long, at long, text string, edge int, first boolean")
+    # Two pieces a block at most; a record is one that has no end where it starts, with those that follow it.
+    edges = known.filter("edge > 0").withColumn("_owner", F.last(
+        F.when(F.col("edge") == 2, F.struct("block", "at")), ignorenulls=True).over(Window.partitionBy("file").orderBy("block", "edge")))
+    joined = edges.groupBy("file", "_owner").agg(
+        F.array_sort(F.collect_list(F.struct("block", "edge", "text"))).alias("_pieces")).select(
+        "file", "_owner.block", "_owner.at", F.array_join(F.transform("_pieces", lambda x: x["text"]), "\n").alias("text"),
+        F.lit(True).alias("first"))
     text = F.regexp_replace("text", "\r$", "")
-    return single.unionByName(joined).withColumn("text", text).filter("text <> ''")
+    return known.filter("edge = 0").drop("edge").unionByName(joined).withColumn("text", text).filter("text <> ''")
 
 
 def _parsed(records: DataFrame, place: str | None = None) -> DataFrame:
     """The cells of records as text columns, named by the first record of each file."""
-    heads = freeze(records.groupBy("file").agg(F.min(F.struct("block", "at", "text")).alias("head")))
+    heads = freeze(records.filter("first").groupBy("file").agg(F.min(F.struct("block", "at", "text")).alias("head")))
     first = heads.orderBy("file").first()
     if first is None:
         raise UnsupportedFormat("The file has no columns.")
