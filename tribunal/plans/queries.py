@@ -23,6 +23,7 @@ from tribunal.plans import fixtures as T, report
 from tribunal.plans.analysis import Analysis, analyze, prepared_rows
 from tribunal.operators.training import refit, training_table
 from tribunal.session import new_path
+from tribunal.sources.json_columns import write_columns
 from tribunal.sources.readers import read_table
 from tribunal.sources.writers import load_run, save_run
 
@@ -62,11 +63,8 @@ def json_columns(spark, folder):
     """Orders as a JSON object of columns, each an object from row key to cell, read back as rows."""
     orders = T.table(spark, folder, "orders").select(
         F.col("o_orderkey").cast("string").alias("key"), "o_custkey", "o_totalprice", "o_orderstatus")
-    columns = ["o_custkey", "o_totalprice", "o_orderstatus"]
-    text = orders.agg(*[F.to_json(F.map_from_entries(F.collect_list(F.struct("key", c)))).alias(c) for c in columns]).select(
-        F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), c) for c in columns]), F.lit("}")).alias("value"))
     path = new_path(spark, "orders") + ".json"
-    text.write.text(path)
+    write_columns(orders, "key", path)
     return read_table(spark, path)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from tribunal.functions import rules
 from tribunal.functions.columns import name
 from tribunal.session import freeze, ship_package
+from tribunal.sources.json_columns import read_columns
 
 
 class UnsupportedFormat(ValueError):
@@ -213,6 +214,9 @@ def read_json(spark: SparkSession, path: str, place: str | None = None) -> DataF
     Columns come in the order in which the records, one after the other, name
     them; the layout is judged by all lines.
     """
+    columns = None if place else read_columns(spark, path)
+    if columns is not None:
+        return columns
     text = spark.read.text(path).filter(F.trim("value") != "")
     whole = F.trim("value").startswith("{") & F.get_json_object("value", "$").isNotNull()
     lines = bool(text.agg(F.bool_and(whole)).first()[0])
