@@ -15,6 +15,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tribunal.operators.boosting import SoftmaxModel
+from tribunal.operators.deep_forest import DeepForestModel
 from tribunal.operators.prepare import CategoryParams, NumericParams, Preparation
 from tribunal.operators.refit import GrowthParams
 from tribunal.operators.score import ModelRun, Scorer
@@ -25,7 +26,7 @@ from tribunal.plans.report import report_tables
 _MODELS = {m.__name__: m for m in (
     DecisionTreeClassificationModel, GBTClassificationModel, LogisticRegressionModel, OneVsRestModel,
     RandomForestClassificationModel, DecisionTreeRegressionModel, GBTRegressionModel, LinearRegressionModel,
-    RandomForestRegressionModel,
+    RandomForestRegressionModel, DeepForestModel,
 )}
 
 
