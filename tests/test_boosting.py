@@ -116,3 +116,28 @@ def test_a_class_that_a_fold_lacks(spark):
     model = SoftmaxBoosting(3, rounds=2, depth=1, bins=4).fit_without(rows, [0])[0]
     shares = softmax(model.raw(np.array([[0.0], [1.0], [2.0]])))
     assert np.isfinite(shares).all() and shares[:, 2].max() < 0.01 and shares[0].argmax() == 0
+
+
+def test_equal_rows_are_read_once_a_pass(spark, monkeypatch):
+    """A pass reads the groups of equal bins, label and fold; its sums count all their rows."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, size=(700, 2)).astype(float)
+    y = np.where(rng.uniform(size=700) < 0.3, rng.integers(0, 3, 700), (x[:, 0] + x[:, 1]).astype(int) % 3)
+    fold = rng.integers(0, 2, 700)
+    df = spark.createDataFrame([(i, *map(float, v), float(t), int(f)) for i, (v, t, f) in enumerate(zip(x, y, fold))],
+                               "row_id long, a double, b double, label double, fold int")
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).repartition(5)
+    states, binned = [], SoftmaxBoosting._binned
+
+    def seen(*args):
+        states.append(binned(*args))
+        return states[-1]
+
+    monkeypatch.setattr(SoftmaxBoosting, "_binned", seen)
+    models = SoftmaxBoosting(3, rounds=3, depth=2, bins=8).fit_without(rows, [0, -2])
+    read = states[0].select("n").collect()
+    assert len(read) == len({(*v, t, f) for v, t, f in zip(x.tolist(), y.tolist(), fold.tolist())})
+    assert sum(r["n"] for r in read) == 700
+    for model, kept in zip(models, (fold != 0, fold >= 0)):
+        np.testing.assert_allclose(model.raw(x[kept]), _reference(x[kept], y[kept], model.edges, 3, 2, 0.1, 3), atol=1e-9)
+        assert (model.trees.weight[:, :, 0] == kept.sum()).all()

@@ -4,8 +4,9 @@ Each round takes the class probabilities of the trees so far and fits a small
 tree per class to what is left (1 or 0 less the probability); a leaf's value is
 one Newton step on the log loss.  Trees grow level by level from sums over
 (node, feature, bin) that every task makes of its own rows, so a level of all
-trees is one pass and no row is moved.  Several models that leave out one fold
-each grow in the same passes.
+trees is one pass.  Several models that leave out one fold each grow in the
+same passes.  Rows with equal bins, label and fold get equal scores in every
+round, so they are counted first and a pass reads each such group once.
 """
 
 from __future__ import annotations
@@ -205,7 +206,7 @@ class SoftmaxBoosting:
         return [sorted(set(cuts[f"f{f}"] or [])) for f in range(d)]
 
     def _binned(self, plain: DataFrame, edges: list[list[float]], base: np.ndarray) -> DataFrame:
-        """(bins, label, fold, raw): bins of the features and class scores of every model, as bytes."""
+        """(bins, label, fold, n, raw): bins of the features with their rows and the class scores of every model, as bytes."""
         def bin_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n = len(batch)
@@ -214,10 +215,11 @@ class SoftmaxBoosting:
                 x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
                 bins = np.stack([np.searchsorted(e, x[:, f]) if e else np.zeros(n, int) for f, e in enumerate(edges)], axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [_bytes(bins.astype(np.uint16)), batch.column(1), batch.column(2).cast(pa.int32()), _bytes(np.tile(base.ravel(), (n, 1)))],
-                    ["bins", "label", "fold", "raw"])
+                    [_bytes(bins.astype(np.uint16)), batch.column(1), batch.column(2).cast(pa.int32())], ["bins", "label", "fold"])
 
-        return plain.mapInArrow(bin_, "bins binary, label int, fold int, raw binary")
+        binned = plain.mapInArrow(bin_, "bins binary, label int, fold int")
+        return binned.groupBy("bins", "label", "fold").agg(F.count(F.lit(1)).alias("n")).withColumn(
+            "raw", F.lit(bytearray(base.astype(np.float64).tobytes())))
 
     def _advanced(self, state: DataFrame, grown: list[Trees], r: int) -> DataFrame:
         """``state`` with the trees of one round added to the class scores."""
@@ -228,13 +230,13 @@ class SoftmaxBoosting:
             for batch in batches:
                 if not len(batch):
                     continue
-                bins, raw = _items(batch.column(0), np.uint16), _items(batch.column(3), np.float64).copy()
+                bins, raw = _items(batch.column(0), np.uint16), _items(batch.column(4), np.float64).copy()
                 for m, (feature, cut, value) in enumerate(trees):
                     for k in range(K):
                         raw[:, m * K + k] += value[k][descend(bins, feature[k], cut[k], depth)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], _bytes(raw)], ["bins", "label", "fold", "raw"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], _bytes(raw)], ["bins", "label", "fold", "n", "raw"])
 
-        return state.mapInArrow(add, "bins binary, label int, fold int, raw binary")
+        return state.mapInArrow(add, "bins binary, label int, fold int, n long, raw binary")
 
     def _grow(self, state: DataFrame, grown: list[Trees], r: int, level: int, left_out: list[int], d: int) -> None:
         """Split all nodes of one level of all trees of a round."""
@@ -246,15 +248,15 @@ class SoftmaxBoosting:
             for batch in batches:
                 if not len(batch):
                     continue
-                bins, raw = _items(batch.column(0), np.uint16), _items(batch.column(3), np.float64)
-                label, fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+                bins, raw = _items(batch.column(0), np.uint16), _items(batch.column(4), np.float64)
+                label, fold, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3))
                 for m, (feature, cut) in enumerate(trees):
                     some = np.flatnonzero(fold != left_out[m])
-                    own = bins[some]
+                    own, alike = bins[some], n[some].astype(float)
                     rest = (np.arange(K) == label[some][:, None]) - softmax(raw[some, m * K:(m + 1) * K])
                     for k in range(K):
                         place = descend(own, feature[k], cut[k], level) * B
-                        weights = (None, rest[:, k], np.abs(rest[:, k]) * (1 - np.abs(rest[:, k])))
+                        weights = (alike, alike * rest[:, k], alike * np.abs(rest[:, k]) * (1 - np.abs(rest[:, k])))
                         for f in range(d):
                             at = place + own[:, f]
                             for s, w in enumerate(weights):
