@@ -75,3 +75,24 @@ def test_unknown_code_is_its_own_label(spark):
     for most in (2, 1):
         got = S.with_labels(rows, "p", codes, most * 10_000, "label", "id").orderBy("id").collect()
         assert [r["label"] for r in got] == ["a", "b", "7", None]
+
+
+def test_copies_of_labels_do_not_multiply_a_long_table(spark, monkeypatch):
+    assert S.label_copies(20_000) == S.LABEL_COPIES
+    assert S.label_copies(900_000) == S.label_copies(5_000_000) == 1
+    monkeypatch.setattr(S, "COPIED_LABELS", 60_000)
+    n, asked, copies = 20_000, [], S.label_copies
+
+    def seen(n_classes):
+        asked.append((n_classes, copies(n_classes)))
+        return asked[-1][1]
+
+    monkeypatch.setattr(S, "label_copies", seen)
+    codes = spark.range(n).select(F.format_string("c%05d", "id").alias("label"), F.col("id").alias("code"))
+    # Every second row is of one class, some of a class that the table lacks or of none.
+    code = F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 9 == 0, n + 1).when(F.col("id") % 11 != 0, F.col("id"))
+    rows = spark.range(6_000).select("id", code.cast("double").alias("p"))
+    named = S.with_labels(rows, "p", codes, n, "label", "id")
+    assert asked == [(n, 3)]
+    got = {r["id"]: r["label"] for r in named.collect()}
+    assert got == {i: "c00007" if i % 2 == 0 else str(n + 1) if i % 9 == 0 else f"c{i:05d}" if i % 11 else None for i in range(6_000)}
