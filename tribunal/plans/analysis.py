@@ -6,6 +6,7 @@ import time
 from dataclasses import dataclass, field
 from typing import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tribunal.functions import rules
@@ -49,6 +50,7 @@ class Analysis:
     sample_values: list = field(default_factory=list)
     table: TrainingTable | None = None
     neighbours: DataFrame | None = None
+    source: DataFrame | None = None
 
     @property
     def run(self) -> ModelRun:
@@ -72,9 +74,11 @@ class Analysis:
         return V.winners(self.judged)
 
     def release(self) -> None:
-        """Free the persisted training table."""
+        """Free the persisted training table and the persisted source rows."""
         if self.table is not None:
             self.table.release()
+        if self.source is not None:
+            self.source.unpersist()
 
 
 def with_row_id(df: DataFrame, key: str | None, block: int = 100_000) -> tuple[DataFrame, str]:
@@ -148,6 +152,8 @@ def analyze(
     log: list[tuple[str, list[dict]]] = []
     chosen = P.select_features(P.drop_null_target(df, target), target, features, [] if key is None else [key])
     chosen, row_id = with_row_id(chosen, key)
+    # Every stage below reads these rows; without a copy each would derive them from the files again.
+    chosen = source = chosen.persist(StorageLevel.MEMORY_AND_DISK)
     exclude = [] if features is not None and row_id in features else [row_id]
 
     detection = detect.detect_problem(chosen, target)
@@ -212,4 +218,5 @@ def analyze(
         judged=judged, explanation=explanation, scorer=scorer, models=models,
         distribution=detect.class_distribution(chosen, target) if classify else None,
         statistics=None if classify else detect.target_stats(chosen, target),
-        sample_values=detect.sample_values(chosen, target, row_id), table=table, neighbours=neighbours)
+        sample_values=detect.sample_values(chosen, target, row_id), table=table, neighbours=neighbours,
+        source=source)
