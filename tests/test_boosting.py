@@ -141,3 +141,25 @@ def test_equal_rows_are_read_once_a_pass(spark, monkeypatch):
     for model, kept in zip(models, (fold != 0, fold >= 0)):
         np.testing.assert_allclose(model.raw(x[kept]), _reference(x[kept], y[kept], model.edges, 3, 2, 0.1, 3), atol=1e-9)
         assert (model.trees.weight[:, :, 0] == kept.sum()).all()
+
+
+@pytest.mark.parametrize("in_task", [0, 10**6])
+def test_groups_in_one_task_and_in_passes_grow_the_same_trees(rows, in_task):
+    boost = SoftmaxBoosting(4, rounds=3, depth=2, bins=16, cells_in_task=in_task)
+    x, y, fold = _arrays(rows)
+    for model, left_out in zip(boost.fit_without(rows, [0, 3]), (0, 3)):
+        kept = fold != left_out
+        np.testing.assert_allclose(model.raw(x[kept]), _reference(x[kept], y[kept], model.edges, 3, 2, 0.1, 4), atol=1e-9)
+        assert model.trees.weight[0, 0, 0] == kept.sum()
+
+
+def test_few_groups_need_no_pass_per_round(rows):
+    """The number of Spark jobs does not follow the rounds."""
+    context = rows.sparkSession.sparkContext
+    jobs = {}
+    for rounds in (1, 12):
+        context.setJobGroup(f"boosting {rounds}", "")
+        assert SoftmaxBoosting(4, rounds=rounds, depth=2, bins=16).fit(rows).trees.value.shape[0] == rounds
+        jobs[rounds] = len(context.statusTracker().getJobIdsForGroup(f"boosting {rounds}"))
+    context._jsc.clearJobGroup()
+    assert 0 < jobs[12] <= jobs[1] + 1

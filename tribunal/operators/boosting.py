@@ -6,12 +6,15 @@ one Newton step on the log loss.  Trees grow level by level from sums over
 (node, feature, bin) that every task makes of its own rows, so a level of all
 trees is one pass.  Several models that leave out one fold each grow in the
 same passes.  Rows with equal bins, label and fold get equal scores in every
-round, so they are counted first and a pass reads each such group once.
+round, so they are counted first and a pass reads each such group once.  Where
+the groups are so few that a task can hold them, as with a few features of any
+number of rows, there are no passes: one task per model grows all its rounds.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,6 +31,8 @@ from tribunal.session import freeze, ship_package
 ROUNDS_PER_CUT = 10
 #: Sums over (model, class, node, feature, bin) that one level may bring to the driver; their number does not grow with the rows.
 CELLS_ON_DRIVER = 500_000
+#: Groups of equal rows, times classes, times features, that one task holds to grow a model by itself.
+CELLS_IN_TASK = 4_000_000
 _SUMS = "m int, k int, node int, f int, b int, n double, r double, h double"
 
 
@@ -41,10 +46,32 @@ class Trees:
     weight: np.ndarray       # rounds x classes x all nodes: rows that reach it in training
     gain: np.ndarray         # rounds x classes x inner nodes
 
+    @classmethod
+    def unsplit(cls, rounds: int, classes: int, depth: int) -> "Trees":
+        shape = (rounds, classes)
+        return cls(np.full((*shape, (1 << depth) - 1), -1), np.zeros((*shape, (1 << depth) - 1), dtype=np.int64),
+                   np.zeros((*shape, 1 << depth)), np.zeros((*shape, (2 << depth) - 1)), np.zeros((*shape, (1 << depth) - 1)))
+
     @property
     def depth(self) -> int:
         return int(np.log2(self.value.shape[-1]))
 
+    def split(self, row: dict, r: int, level: int, step: float) -> None:
+        """Note the best split (k, node, f, b, gain and the sums on its left and in all) of a node of one level of a round."""
+        K, nodes = self.value.shape[1], 1 << level
+        at = (r, row["k"], row["node"] + nodes - 1)
+        sides = [(row["nl"], row["rl"], row["hl"]), (row["n"] - row["nl"], row["r"] - row["rl"], row["h"] - row["hl"])]
+        if row["gain"] > 0:
+            self.feature[at], self.cut[at], self.gain[at] = row["f"], row["b"], row["gain"]
+        else:
+            sides = [(row["n"], row["r"], row["h"]), (0.0, 0.0, 0.0)]
+        self.weight[at] = row["n"]
+        for side, (n, rest, h) in enumerate(sides):
+            self.weight[r, row["k"], 2 * (row["node"] + nodes - 1) + 1 + side] = n
+            if level == self.depth - 1:
+                newton = (K - 1) / K * rest / h if abs(h) > 1e-150 else 0.0
+                self.value[r, row["k"], 2 * row["node"] + side] = step * newton
+
 
 def descend(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
     """Number inside its level of the node that each row reaches in one tree."""
@@ -62,6 +89,37 @@ def softmax(raw: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def level_sums(
+    bins: np.ndarray, label: np.ndarray, n: np.ndarray, raw: np.ndarray, feature: np.ndarray, cut: np.ndarray, level: int, n_bins: int,
+) -> np.ndarray:
+    """Rows, residuals and curvatures over (class, node, feature, bin) of one level of the trees of one round of a model."""
+    K, nodes, d = raw.shape[1], 1 << level, bins.shape[1]
+    total = np.zeros((3, K, nodes, d, n_bins))
+    rest = (np.arange(K) == label[:, None]) - softmax(raw)
+    for k in range(K):
+        place = descend(bins, feature[k], cut[k], level) * n_bins
+        weights = (n, n * rest[:, k], n * np.abs(rest[:, k]) * (1 - np.abs(rest[:, k])))
+        for f in range(d):
+            at = place + bins[:, f]
+            for s, w in enumerate(weights):
+                total[s, k, :, f] += np.bincount(at, weights=w, minlength=nodes * n_bins).reshape(nodes, n_bins)
+    return total
+
+
+def grow_alone(bins: np.ndarray, label: np.ndarray, n: np.ndarray, base: np.ndarray, like: "SoftmaxBoosting") -> Trees:
+    """All rounds of one model from groups of equal rows."""
+    trees = Trees.unsplit(like.rounds, like.n_classes, like.depth)
+    raw = np.tile(base, (len(bins), 1))
+    for r in range(like.rounds):
+        for level in range(like.depth):
+            sums = level_sums(bins, label, n, raw, trees.feature[r], trees.cut[r], level, like.bins)
+            for row in best_of(sums[:, None]):
+                trees.split(row, r, level, like.step)
+        for k in range(like.n_classes):
+            raw[:, k] += trees.value[r, k][descend(bins, trees.feature[r, k], trees.cut[r, k], like.depth)]
+    return trees
+
+
 @dataclass
 class SoftmaxModel:
     """Boosted trees of one model: class scores are ``base`` plus the values of all leaves reached."""
@@ -164,6 +222,7 @@ class SoftmaxBoosting:
     depth: int = 3
     step: float = 0.1
     bins: int = 128
+    cells_in_task: int = CELLS_IN_TASK
 
     def fit(self, rows: DataFrame) -> SoftmaxModel:
         return self.fit_without(rows.withColumn("fold", F.lit(-1)), [-2])[0]
@@ -182,10 +241,12 @@ class SoftmaxBoosting:
                 counts[m, r["label"]] += r["count"] * (r["fold"] != fold)
         share = np.maximum(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1), np.finfo(np.float32).eps)
         base = np.log(share)
-        grown = [Trees(np.full((self.rounds, K, (1 << self.depth) - 1), -1), np.zeros((self.rounds, K, (1 << self.depth) - 1), dtype=np.int64),
-                       np.zeros((self.rounds, K, 1 << self.depth)), np.zeros((self.rounds, K, (2 << self.depth) - 1)),
-                       np.zeros((self.rounds, K, (1 << self.depth) - 1))) for _ in left_out]
         state = self._binned(plain, edges, base).persist(StorageLevel.MEMORY_AND_DISK)
+        if state.count() * K * d <= self.cells_in_task:
+            grown = self._grown_alone(state, base, left_out)
+            state.unpersist()
+            return [SoftmaxModel(grown[m], edges, base[m], d) for m in range(M)]
+        grown = [Trees.unsplit(self.rounds, K, self.depth) for _ in left_out]
         for r in range(self.rounds):
             before = None
             if r:
@@ -221,6 +282,27 @@ class SoftmaxBoosting:
         return binned.groupBy("bins", "label", "fold").agg(F.count(F.lit(1)).alias("n")).withColumn(
             "raw", F.lit(bytearray(base.astype(np.float64).tobytes())))
 
+    def _grown_alone(self, state: DataFrame, base: np.ndarray, left_out: list[int]) -> list[Trees]:
+        """The trees of every model, each grown by one task from all groups, which are few."""
+        spark = state.sparkSession
+        groups = state.select("bins", "label", "fold", "n").toArrow().combine_chunks()
+        shared = spark.sparkContext.broadcast([
+            _items(groups["bins"].combine_chunks(), np.uint16), *(groups[c].to_numpy() for c in ("label", "fold", "n"))])
+
+        def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bins, label, fold, n = shared.value
+            for m in (int(m) for batch in batches for m in batch.column(0).to_pylist()):
+                some = np.flatnonzero(fold != left_out[m])
+                # Folds no longer matter: groups that differ in nothing else are one.
+                own, place = np.unique(np.column_stack([bins[some], label[some]]), axis=0, return_inverse=True)
+                rows = np.bincount(place.ravel(), weights=n[some], minlength=len(own))
+                trees = grow_alone(own[:, :-1].astype(np.int64), own[:, -1].astype(np.int64), rows, base[m], self)
+                yield pa.RecordBatch.from_arrays([pa.array([m], pa.int32()), pa.array([pickle.dumps(trees)], pa.binary())], ["m", "trees"])
+
+        done = spark.range(0, len(left_out), 1, len(left_out)).mapInArrow(grow, "m int, trees binary").collect()
+        shared.destroy()
+        return [pickle.loads(r["trees"]) for r in sorted(done, key=lambda r: r["m"])]
+
     def _advanced(self, state: DataFrame, grown: list[Trees], r: int) -> DataFrame:
         """``state`` with the trees of one round added to the class scores."""
         trees = [(t.feature[r].copy(), t.cut[r].copy(), t.value[r].copy()) for t in grown]
@@ -252,15 +334,8 @@ class SoftmaxBoosting:
                 label, fold, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3))
                 for m, (feature, cut) in enumerate(trees):
                     some = np.flatnonzero(fold != left_out[m])
-                    own, alike = bins[some], n[some].astype(float)
-                    rest = (np.arange(K) == label[some][:, None]) - softmax(raw[some, m * K:(m + 1) * K])
-                    for k in range(K):
-                        place = descend(own, feature[k], cut[k], level) * B
-                        weights = (alike, alike * rest[:, k], alike * np.abs(rest[:, k]) * (1 - np.abs(rest[:, k])))
-                        for f in range(d):
-                            at = place + own[:, f]
-                            for s, w in enumerate(weights):
-                                total[s, m, k, :, f] += np.bincount(at, weights=w, minlength=nodes * B).reshape(nodes, B)
+                    total[:, m] += level_sums(
+                        bins[some], label[some], n[some].astype(float), raw[some, m * K:(m + 1) * K], feature, cut, level, B)
             where = np.nonzero(total[0])
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(w, pa.int32()) for w in where], *[pa.array(t[where]) for t in total]],
@@ -272,18 +347,7 @@ class SoftmaxBoosting:
         else:
             splits = (r.asDict() for r in _best_splits(cells).collect())
         for row in splits:
-            t, at = grown[row["m"]], (r, row["k"], row["node"] + nodes - 1)
-            sides = [(row["nl"], row["rl"], row["hl"]), (row["n"] - row["nl"], row["r"] - row["rl"], row["h"] - row["hl"])]
-            if row["gain"] > 0:
-                t.feature[at], t.cut[at], t.gain[at] = row["f"], row["b"], row["gain"]
-            else:
-                sides = [(row["n"], row["r"], row["h"]), (0.0, 0.0, 0.0)]
-            t.weight[at] = row["n"]
-            for side, (n, rest, h) in enumerate(sides):
-                t.weight[r, row["k"], 2 * (row["node"] + nodes - 1) + 1 + side] = n
-                if level == self.depth - 1:
-                    newton = (K - 1) / K * rest / h if abs(h) > 1e-150 else 0.0
-                    t.value[r, row["k"], 2 * row["node"] + side] = self.step * newton
+            grown[row["m"]].split(row, r, level, self.step)
 
 
 def _best_splits(cells: DataFrame) -> DataFrame:
@@ -303,13 +367,18 @@ def _best_on_driver(cells: pd.DataFrame, shape: tuple[int, ...]) -> Iterator[dic
     """``_best_splits`` of sums whose number is bounded by the shape of the trees."""
     sums = np.zeros((3, *shape))
     sums[(slice(None), *(cells[c].to_numpy() for c in ("m", "k", "node", "f", "b")))] = cells[["n", "r", "h"]].to_numpy().T
+    return best_of(sums)
+
+
+def best_of(sums: np.ndarray) -> Iterator[dict]:
+    """``_best_splits`` of sums (rows, residuals, curvatures) over (model, class, node, feature, bin)."""
     left, whole = np.cumsum(sums, axis=-1), sums.sum(axis=-1, keepdims=True)
     rest = whole - left
     inside = (left[0] > 0) & (rest[0] > 0)
     with np.errstate(divide="ignore", invalid="ignore"):
         gap = left[1] / left[0] - rest[1] / rest[0]
         gain = np.where(inside, np.round(left[0] * rest[0] / whole[0] * gap * gap, 10), 0.0)
-    m, k, node, d, bins = shape
+    m, k, node, d, bins = sums.shape[1:]
     flat = gain.reshape(m * k * node, d * bins)
     for place, best in enumerate(flat.argmax(axis=1).tolist()):
         at = (*np.unravel_index(place, (m, k, node)), *np.unravel_index(best, (d, bins)))
