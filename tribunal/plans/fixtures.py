@@ -14,7 +14,7 @@ def table(spark: SparkSession, folder: str, title: str) -> DataFrame:
 
 def doc_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents with text features; target ``quality``."""
-    odd = F.length(F.regexp_replace("text", "[A-Za-z ]", "")) / F.length("text")
+    odd = F.try_divide(F.length(F.regexp_replace("text", "[A-Za-z ]", "")), F.length("text"))     # null for an empty text
     return table(spark, folder, "labels").join(table(spark, folder, "documents"), "doc_id").select(
         "doc_id", "n_chars", odd.alias("odd_share"), "lang", "source", "quality")
 

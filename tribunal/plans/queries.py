@@ -497,7 +497,7 @@ def native_importance(spark, folder):
 
 def _blanked_docs(spark, folder):
     """Documents as rows to score: some cells blank, unreadable or unseen."""
-    odd = F.length(F.regexp_replace("text", "[A-Za-z ]", "")) / F.length("text")
+    odd = F.try_divide(F.length(F.regexp_replace("text", "[A-Za-z ]", "")), F.length("text"))     # null for an empty text
     kind = F.col("doc_id") % 5
     return T.table(spark, folder, "documents").select(
         "doc_id",
